@@ -139,11 +139,15 @@ def filled(template: str, **values: Column) -> Column:
     return out
 
 
-@F.pandas_udf("double")
-def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def sequence_ratio(left: Column | str, right: Column | str) -> Column:
     """Matching-block ratio of two texts, trimmed and in lower case (no SQL function gives it)."""
-    for left, right in batches:
-        yield pd.Series([difflib.SequenceMatcher(None, (a or "").lower().strip(), (b or "").lower().strip()).ratio() for a, b in zip(left, right, strict=True)])
+
+    @F.pandas_udf("double")
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([difflib.SequenceMatcher(None, (x or "").lower().strip(), (y or "").lower().strip()).ratio() for x, y in zip(a, b, strict=True)])
+
+    return ratio(left, right)
 
 
 def glued_word_splitter(dictionary: frozenset[str], least: int = 3):

@@ -56,6 +56,6 @@ def rerank(candidates: DataFrame, k: int = 5, most_chars: int = 502, scorer=lexi
     room = F.greatest(F.lit(0), most_chars - F.length("query"))
     text = F.when(F.length("query") + F.length("text") > most_chars, F.left("text", room)).otherwise(F.col("text"))
     blank = F.trim("query") == ""
-    rows = candidates.where(blank | (F.trim("text") != "")).withColumn("original_rank", F.col("rank"))
-    score = F.when(blank, -F.col("rank").cast("double")).otherwise(F.round(scorer(F.col("query"), text), 9))
-    return top_k(rows.drop("rank").withColumn("rerank_score", score), k, "query_id", "rerank_score", "original_rank", "doc_id")
+    rows = candidates.where(blank | (F.trim("text") != "")).withColumnRenamed("rank", "original_rank")
+    score = F.when(blank, -F.col("original_rank").cast("double")).otherwise(F.round(scorer(F.col("query"), text), 9))
+    return top_k(rows.withColumn("rerank_score", score), k, "query_id", "rerank_score", "original_rank", "doc_id")

@@ -145,7 +145,7 @@ def x22(spark, d):
 # -- chunks, corpus statistics ---------------------------------------------------------------------------------------
 
 
-@query("c01_fixed_windows", f"with w as (select doc_id, {_W} as w from documents), s as (select doc_id, w, unnest(range(0, len(w), 100)) as at from w where len(w) > 0) select doc_id as document_id, at // 100 as chunk_id, md5(array_to_string(w[at + 1:at + 200], ' ')) as hash, len(w[at + 1:at + 200])::bigint as word_count, length(array_to_string(w[at + 1:at + 200], ' '))::bigint as char_count from s")
+@query("c01_fixed_windows", f"with w as (select doc_id, {_W} as w from documents), s as (select doc_id, w, unnest(range(0, len(w), 100)) as pos from w where len(w) > 0) select doc_id as document_id, pos // 100 as chunk_id, md5(array_to_string(w[pos + 1:pos + 200], ' ')) as hash, len(w[pos + 1:pos + 200])::bigint as word_count, length(array_to_string(w[pos + 1:pos + 200], ' '))::bigint as char_count from s")
 def c01(spark, d):
     rows = chunking.fixed_windows(docs_of(spark, d).withColumnRenamed("doc_id", "document_id"))
     return rows.select("document_id", "chunk_id", F.md5("text").alias("hash"), "word_count", "char_count")
@@ -162,7 +162,7 @@ def c03(spark, d):
     return chunking.joined_in_order(rows, "conv_id", "turn", "text")
 
 
-_CHUNKS = f"w as (select doc_id, {_W} as w from documents), ch as (select doc_id, w[at + 1:at + 200] as c from w, unnest(range(0, len(w), 100)) as t(at) where len(w) > 0), st as (select doc_id, len(c) as n, length(array_to_string(c, ' ')) as chars, len(list_filter(c, lambda x: length(x) > 15)) as longs from ch)"
+_CHUNKS = f"w as (select doc_id, {_W} as w from documents), ch as (select doc_id, w[pos + 1:pos + 200] as c from w, unnest(range(0, len(w), 100)) as t(pos) where len(w) > 0), st as (select doc_id, len(c) as n, length(array_to_string(c, ' ')) as chars, len(list_filter(c, lambda x: length(x) > 15)) as longs from ch)"
 
 
 def _chunks(spark, d):
