@@ -124,22 +124,26 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """For each token stream, which tokens lie in a run of tokens that occurs in enough different streams.
+def covered(pages_blocks: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[list[np.ndarray]]:
+    """For each block of each page, which of its tokens lie in a run that occurs on enough different pages.
 
     The suffix array of the concatenated streams is built by prefix doubling as far as depth ``run``: suffixes of equal
-    rank share their first ``run`` tokens. A token of its own ends each stream, so that no run crosses streams.
+    rank share their first ``run`` tokens. A token of its own ends each block, so that no run crosses blocks; a block
+    of fewer tokens is boilerplate as a whole if enough different pages have it.
     """
     ids: dict[str, int] = {}
-    flat, owner, starts = [], [], []
+    flat, owner, starts, short = [], [], [], {}
     contents: dict[tuple, int] = {}
-    for k, stream in enumerate(streams):
-        own = [ids.setdefault(t, len(ids)) for t in stream]
-        content = contents.setdefault(tuple(own), len(contents))  # copies of a page are one witness
-        starts.append(len(flat))
-        flat += own
-        flat.append(-1 - k)
-        owner += [content] * (len(own) + 1)
+    for blocks_of in pages_blocks:
+        content = contents.setdefault(tuple(blocks_of), len(contents))  # copies of a page are one witness
+        for block in blocks_of:
+            own = [ids.setdefault(t, len(ids)) for t in block.split(" ")]
+            if len(own) < run:
+                short.setdefault(block, set()).add(content)
+            starts.append(len(flat))
+            flat += own
+            flat.append(-1 - len(starts))
+            owner += [content] * (len(own) + 1)
     n = len(flat)
     rank = np.unique(np.array(flat, dtype=np.int64), return_inverse=True)[1].astype(np.int64)
     at, depth, who = np.arange(n), 1, np.array(owner)
@@ -153,13 +157,20 @@ def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> lis
         rank[order] = np.cumsum(new) - 1
         depth += step
     pairs = np.unique(np.stack([rank, who]), axis=1)
-    seen = np.bincount(pairs[0], minlength=int(rank.max()) + 1 if n else 1)
+    seen = np.bincount(pairs[0], minlength=int(rank.max(initial=0)) + 1)
     hit = seen[rank] >= pages
     edges = np.zeros(n + run + 1, dtype=np.int64)
     np.add.at(edges, at[hit], 1)
     np.add.at(edges, at[hit] + run, -1)
     mask = np.cumsum(edges)[:n] > 0
-    return [mask[s : s + len(stream)] for s, stream in zip(starts, streams, strict=True)]
+    out, place = [], iter(starts)
+    for blocks_of in pages_blocks:
+        masks = []
+        for block in blocks_of:
+            at_block, size = next(place), block.count(" ") + 1
+            masks.append(np.full(size, len(short[block]) >= pages) if size < run else mask[at_block : at_block + size])
+        out.append(masks)
+    return out
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -187,17 +198,13 @@ def _undecided(table: pa.Table) -> pa.Table:
     todo = [k for k, r in enumerate(rows) if r["article"] is None]
     texts = []
     if todo:
-        streams = [[t for block in r["outside"] for t in block.split(" ")] for r in rows]
-        masks = covered(streams)
+        masks = covered([r["outside"] for r in rows])
         for k in todo:
-            at, kept = 0, []
-            for block, is_open in zip(rows[k]["outside"], rows[k]["open"], strict=True):
-                words = block.split(" ")
-                if is_open:
-                    own = [w for w, c in zip(words, masks[k][at : at + len(words)], strict=True) if not c]
-                    if own:
-                        kept.append(" ".join(own))
-                at += len(words)
+            kept = []
+            for block, is_open, gone in zip(rows[k]["outside"], rows[k]["open"], masks[k], strict=True):
+                own = [w for w, c in zip(block.split(" "), gone, strict=True) if not c] if is_open else []
+                if own:
+                    kept.append(" ".join(own))
             texts.append("\n".join(kept))
     return pa.table({"page_id": pa.array([rows[k]["page_id"] for k in todo], pa.int64()), "url": pa.array([rows[k]["url"] for k in todo], pa.string()), "text": pa.array(texts, pa.string())})
 

@@ -209,7 +209,7 @@ _RUN = "doc_id long, lo long, n long, key long, hot boolean"
 
 
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Blobs of anchors by bucket; bucket -1 holds windows that a slice has settled."""
+    """Blobs of anchors by bucket; buckets below 0 hold windows that a slice has settled."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
@@ -223,7 +223,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=_U))
             parts = [(b, kept[by[cuts[b] : cuts[b + 1]]]) for b in range(buckets) if cuts[b + 1] > cuts[b]]
-            parts += [(-1, settled)] if len(settled) else []
+            parts += [(-1 - int(found["key"][settled[0]] % _U(buckets)), settled)] if len(settled) else []
             columns = [(doc, np.int64), (found["lo"], np.int32), (found["n"], np.uint8), (found["key"], _U), (found["ctx"], _U)]
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([c[rows].astype(kind).tobytes() for _, rows in parts], pa.binary()) for c, kind in columns)], names=["bucket", "doc", "lo", "n", "key", "ctx"])
 
@@ -256,6 +256,8 @@ def _columns(table) -> tuple[np.ndarray, ...]:
 def _settle(table: pa.Table) -> pa.Table:
     """Of one bucket: windows to remove (key null), and open contexts (with key)."""
     doc, lo, n, key, ctx = _columns(table)
+    if table["bucket"][0].as_py() < 0:
+        return _runs(doc, lo, n)
     order, new, place = first_of_each(key, ctx, doc, lo)
     gone, kept = order[place & ~new], order[new]
     k = key[kept]
@@ -289,7 +291,9 @@ def trimmed(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int
     shared = counts[where] > 1
     out = []
     row, own = row[shared], own[shared]
-    heads = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
+    if not len(row):
+        return out
+    heads = np.flatnonzero(np.append(True, row[1:] != row[:-1])).tolist()
     for a, b in zip(heads, [*heads[1:], len(row)], strict=True):
         key, doc, lo, context = rows[row[a]]
         first, last = int(own[a] - starts[row[a]]), int(own[b - 1] - starts[row[a]])
@@ -322,15 +326,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, lo, n): windows starting at lo .. lo + n - 1 also start earlier; docs: doc_id, text."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(8, -(-total // BUCKET_BYTES))
-    blobs = materialise(_packed(docs, buckets), "anchors")
-
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16):
-            doc, lo, n, _, _ = _columns(batch)
-            yield from _runs(doc, lo, n).to_batches()
-
-    settled = blobs.where("bucket < 0").mapInArrow(flat, _RUN)
-    found = materialise(blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_settle, _RUN), "contexts")
+    found = materialise(_packed(docs, buckets).groupBy("bucket").applyInArrow(_settle, _RUN), "contexts")
     todo = found.where("key is not null").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("lo", "n", "key", "hot")).alias("open"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +344,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
 
     contexts = docs.join(todo, F.col("doc_id") == F.col("id")).select("doc_id", "text", "open").mapInArrow(cut, "key long, doc_id long, lo long, context binary").distinct()
     ordered = contexts.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(4 * buckets))).groupBy("group").applyInArrow(_order, _RUN)
-    return settled.union(found.where("key is null")).union(ordered).select("doc_id", "lo", "n")
+    return found.where("key is null").select("doc_id", "lo", "n").union(ordered.select("doc_id", "lo", "n"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
