@@ -150,9 +150,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame) -> DataFrame:
-    """Agreeing pairs across components of each bucket (key, id, component, n_shingles, signature); buckets are bounded."""
+    """Agreeing pairs across components of each bucket (key, band, id, component, n_shingles, signature); buckets are bounded."""
 
     def pairs(table: pa.Table) -> pa.Table:
+        band = table["band"][0].as_py()
         ids, comps, sizes = (table[c].to_numpy() for c in ("id", "component", "n_shingles"))
         order = np.lexsort((ids, sizes))
         ids, comps, sizes = ids[order], comps[order], sizes[order]
@@ -162,7 +163,11 @@ def _across(buckets: DataFrame) -> DataFrame:
         for k in range(len(ids) - 1):
             if (near := np.flatnonzero(comps[k + 1 : last[k]] != comps[k])).size:
                 near += k + 1
-                near = near[(sig[near] == sig[k]).sum(axis=1) >= AGREE * HASHES]
+                same = sig[near] == sig[k]
+                keep = same.sum(axis=1) >= AGREE * HASHES
+                if band >= 0:  # a pair is written by the first band it shares, not by each
+                    keep &= same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                near = near[keep]
                 left += [ids[k]] * near.size
                 right += ids[near].tolist()
         a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
@@ -199,7 +204,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _bands(rows: DataFrame, *carried: str) -> DataFrame:
-    return rows.select("id", *carried, F.explode(F.array(*[_band(k) for k in range(BANDS)])).alias("key"))
+    return rows.select("id", *carried, F.posexplode(F.array(*[_band(k) for k in range(BANDS)])).alias("band", "key"))
 
 
 def link_classes(classes: DataFrame, texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -213,8 +218,8 @@ def link_classes(classes: DataFrame, texts: DataFrame, bucket_rows: int = BUCKET
     labelled = classes.join(members, "id", "left").withColumn("component", F.coalesce("component", "id"))
     keyed = _bands(labelled, "component")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-    open_rows = materialise(keyed.join(mixed, "key").select("key", "id", "component", "n"), "open")
-    parts = [open_rows.where(F.col("n") <= bucket_rows).select("key", "id", "component")]
+    open_rows = materialise(keyed.join(mixed, "key").select("key", "band", "id", "component", "n"), "open")
+    parts = [open_rows.where(F.col("n") <= bucket_rows).select("key", "band", "id", "component")]
     large = open_rows.where(F.col("n") > bucket_rows).select("key", "id", "component")
     for depth in range(4):
         if large.isEmpty():
@@ -225,13 +230,13 @@ def link_classes(classes: DataFrame, texts: DataFrame, bucket_rows: int = BUCKET
         whole = large.groupBy(F.col("key").alias("outer")).agg(F.count(F.lit(1)).alias("all"))
         size = size.join(whole, "outer")
         split = materialise(again.join(size.where("n < `all`").drop("outer"), "key").select("key", "id", "component", "n"), "open")
-        parts.append(split.where(F.col("n") <= bucket_rows).select("key", "id", "component"))
+        parts.append(split.where(F.col("n") <= bucket_rows).select("key", F.lit(-1).alias("band"), "id", "component"))
         large = split.where(F.col("n") > bucket_rows).select("key", "id", "component")
-    parts.append(large)
+    parts.append(large.select("key", F.lit(-1).alias("band"), "id", "component"))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.union(part)
-    found = _across(rows.join(classes, "id"))
+    found = materialise(_across(rows.join(classes, "id")), "across")
     more = materialise(_confirmed(found, texts), "links")
     if more.isEmpty():
         return members
