@@ -183,7 +183,9 @@ def read_archive(raw: bytes) -> Iterator[dict]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes | None:
-    rows = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), F.col("url").cast("string").alias("url")).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()
+    # Ids first: each task then sends the driver a few numbers, not its own SAMPLE pages.
+    ids = [r["page_id"] for r in pages.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()]
+    rows = pages.where(F.col("page_id").isin(ids)).select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), F.col("url").cast("string").alias("url")).limit(SAMPLE).collect() if ids else []
     samples = [warc_record(0, r["url"], r["html"].encode(), None) for r in rows]
     if len(samples) < 8 or sum(map(len, samples)) < 16 * 1024:
         return None
