@@ -217,5 +217,5 @@ def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     streams = parsed.select("page_id", "url", F.when(F.col("article").isNotNull(), F.lit("")).alias("article"), "open", "outside", host.alias("host"))
     counts = streams.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"), F.count_if(F.col("article").isNull()).alias("todo")).where("todo > 0").select(F.col("host").alias("h"), "chunks")
     groups = streams.join(counts, F.col("host") == F.col("h")).withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("chunks")))
-    rest = groups.select("host", "part", "page_id", "url", "article", "open", "outside").groupBy("host", "part").applyInArrow(_undecided, "page_id long, url string, text string")
+    rest = groups.select(F.concat_ws(" ", "part", "host").alias("group"), "page_id", "url", "article", "open", "outside").groupBy("group").applyInArrow(_undecided, "page_id long, url string, text string")
     return decided.union(rest).withColumn("n_chars", F.length("text").cast("long"))
