@@ -28,8 +28,8 @@ from .common import slices
 
 THRESHOLD = 0.7
 #: Bounds of the training sample and of the vocabulary.
-PER_CLASS = 3000
-MOST_BYTES = 48_000_000
+PER_CLASS = 1000
+MOST_BYTES = 10_000_000
 VOCABULARY = 5_000
 LEAST_DOCS = 3
 #: Least likelihood-ratio statistic (chi-squared, one degree) of a feature.
