@@ -5,13 +5,16 @@ A document's set holds its distinct five-word shingles (words split at ASCII whi
 document of fewer words is one shingle. Documents with equal sets form a class, and only the smallest doc_id of a
 class goes on. Classes that agree in a band of four minima are candidates; 32 bands miss a pair at similarity 0.85
 with a probability below 1e-10. Pairs whose 128-value signatures agree in less than 65 % (six standard deviations
-below 0.85) are dropped; the rest are confirmed on full sets: ``100 * intersection >= 85 * union``.
+below 0.85) are dropped, and so are those whose fine sketches (the least hash in each of 1024 ranges, four bits each)
+lie six standard deviations below it; the rest are confirmed on full sets: ``100 * intersection >= 85 * union``.
 
 All pairs of a bucket are never written out. Pass A compares each member of a bucket with the bucket's smallest
 member, and joins what is confirmed. Pass B looks at buckets that still hold several components, and only at pairs
-across components; buckets of over ``bucket_rows`` rows are first split by a second (third, ..) band, which
-keeps a similar pair together in at least one part with the same certainty. So no link that could join two
-components is left out, and no task gets an unbounded bucket.
+across components. A bucket of over ``bucket_rows`` rows is cut into blocks, and a task compares two of them. That
+copies a row once for each block, so a bucket of more blocks than there are bands is first split by the later bands,
+twice at most. A pair is looked at where its bucket's bands are the first that it shares; one at 0.85 shares 17 on
+average, and under three with a probability of 3e-8. So no task gets an unbounded bucket, and no pair is left out
+for the size of its bucket.
 
 Defined cases: null texts and texts without words have the empty set (n_shingles 0), link with nothing and are
 kept; rows with equal doc_id and equal text fall in one class; empty tables give no rows; other columns are not read.
@@ -36,7 +39,11 @@ HASHES = BANDS * ROWS
 PERCENT = 85
 #: Least share of equal minima for a pair to be confirmed on full sets.
 AGREE = 0.65
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 2048
+#: Buckets of more blocks are split by the later bands: blocks would copy a row more often than bands do.
+BANDS_COPIED = BANDS
+#: Ranges of the fine sketch.
+BINS = 1024
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -76,20 +83,47 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
-    """The minima of HASHES universal hashes of a set (multiply, add, upper 32 bits)."""
+    """The minima of HASHES universal hashes of a set (multiply and add); 16 bits of each are kept."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), block):
         part = shingles[at : at + block]
         np.minimum(least, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=least)
-    return (least >> _S32).astype(np.uint32).view(np.int32)
+    return (least >> _S32).astype(np.uint16)
+
+
+def fine_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Of the least hash in each of BINS equal ranges four bits, two to a byte; 0 for a range without any."""
+    out = np.zeros(BINS, dtype=np.uint8)
+    bins = (shingles >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.append(len(bins) > 0, bins[1:] != bins[:-1])[: len(bins)])
+    out[bins[first]] = shingles[first] % np.uint64(15) + np.uint64(1)
+    return out[::2] << 4 | out[1::2]
+
+
+def unpacked(fine: list[bytes]) -> np.ndarray:
+    packed = np.frombuffer(b"".join(fine), dtype=np.uint8).reshape(-1, BINS // 2)
+    return np.stack([packed >> 4, packed & 15], axis=2).reshape(-1, BINS)
+
+
+def likely(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether fine sketches (rows of a and b) are what similar sets may have; both: the sum of the sets' sizes.
+
+    The least hashes are a sample of the union without replacement, so the number of equal ones is hypergeometric.
+    Chance agreement of four bits only adds to it.
+    """
+    equal = np.count_nonzero((a == b) & (a > 0), axis=1)
+    drawn = np.count_nonzero(a | b, axis=1)
+    share = PERCENT / 100
+    left_out = np.maximum(0, 1 - drawn * (1 + share) / np.maximum(both, 1))
+    return equal >= share * drawn - 6 * np.sqrt(drawn * share * (1 - share) * left_out) - 2
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit hash as two longs, and the signature (null for an empty set)."""
+    """doc_id, n_shingles, the set's 128-bit hash as two longs, signature and fine sketch (null for an empty set)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, high, low, signatures = [], [], [], []
+            sizes, high, low, signatures, fine = [], [], [], [], []
             for text in text_bytes(batch["text"]):
                 own = shingle_set(text)
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
@@ -97,25 +131,29 @@ def sketches(docs: DataFrame) -> DataFrame:
                 high.append((digest >> 64) - (1 << 63))
                 low.append((digest & (2**64 - 1)) - (1 << 63))
                 signatures.append(signature(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "set_high", "set_low", "signature"])
+                fine.append(fine_sketch(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signatures, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n_shingles", "set_high", "set_low", "signature", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, n_shingles long, set_high long, set_low long, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, n_shingles long, set_high long, set_low long, signature binary, fine binary")
 
 
 def _band(k: int):
-    return F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS))
+    return F.xxhash64(F.lit(k), F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS))
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree enough, by a comparison in Arrow batches."""
-    sig = classes.select("id", "signature", "n_shingles")
-    both = pairs.join(sig.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b").join(sig.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a")
-    both = both.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "sa", "sb")
+    both = pairs
+    for c in ("b", "a"):
+        both = both.join(classes.select(F.col("id").alias(c), F.col("signature").alias(f"s{c}"), F.col("fine").alias(f"f{c}"), F.col("n_shingles").alias(f"n{c}")), c)
+    both = both.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "sa", "sb", "fa", "fb", (F.col("na") + F.col("nb")).alias("n"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.int32).reshape(-1, HASHES) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= AGREE * HASHES))
+        for batch in slices(batches, 2048):
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint16).reshape(-1, HASHES) for c in ("sa", "sb"))
+            ok = (a == b).sum(axis=1) >= AGREE * HASHES
+            ok &= likely(unpacked(batch["fa"].to_pylist()), unpacked(batch["fb"].to_pylist()), batch["n"].to_numpy())
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(keep, "a long, b long")
 
@@ -149,31 +187,38 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """Agreeing pairs across components of each bucket (key, band, id, component, n_shingles, signature); buckets are bounded."""
+def _across(rows: DataFrame, classes: DataFrame, bucket_rows: int) -> DataFrame:
+    """Agreeing pairs across components of each bucket; rows: key, bands, id, component, n (rows of the bucket)."""
+    blocks = F.ceil(F.col("n") / bucket_rows).cast("int")
+    tiled = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(77)), F.col("blocks")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tiled = tiled.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "bands", "id", "component")
 
     def pairs(table: pa.Table) -> pa.Table:
-        band = table["band"][0].as_py()
-        ids, comps, sizes = (table[c].to_numpy() for c in ("id", "component", "n_shingles"))
+        bands, apart = table["bands"][0].as_py(), table["i"][0].as_py() != table["j"][0].as_py()
+        ids, comps, sizes, block = (table[c].to_numpy() for c in ("id", "component", "n_shingles", "block"))
         order = np.lexsort((ids, sizes))
-        ids, comps, sizes = ids[order], comps[order], sizes[order]
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.int32).reshape(-1, HASHES)[order]
+        ids, comps, sizes, block = ids[order], comps[order], sizes[order], block[order]
+        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint16).reshape(-1, HASHES)[order]
+        fine = unpacked(table["fine"].to_pylist())[order]
         last = np.searchsorted(sizes, 100 * sizes // PERCENT, side="right")  # no larger set can be similar
         left, right = [], []
         for k in range(len(ids) - 1):
-            if (near := np.flatnonzero(comps[k + 1 : last[k]] != comps[k])).size:
-                near += k + 1
+            near = k + 1 + np.flatnonzero(comps[k + 1 : last[k]] != comps[k])
+            if apart:
+                near = near[block[near] != block[k]]
+            if near.size:
                 same = sig[near] == sig[k]
-                keep = same.sum(axis=1) >= AGREE * HASHES
-                if band >= 0:  # a pair is written by the first band it shares, not by each
-                    keep &= same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                near = near[keep]
+                shared = same.reshape(-1, BANDS, ROWS).all(axis=2)[:, : bands[-1] + 1]  # the bands must be the first shared
+                near = near[(same.sum(axis=1) >= AGREE * HASHES) & shared[:, bands].all(axis=1) & (shared.sum(axis=1) == len(bands))]
+            if near.size:
+                near = near[likely(fine[near], fine[k], sizes[near] + sizes[k])]
                 left += [ids[k]] * near.size
                 right += ids[near].tolist()
         a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return buckets.groupBy("key").applyInArrow(pairs, "a long, b long").distinct()
+    return tiled.join(classes, "id").groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -207,8 +252,13 @@ def _bands(rows: DataFrame, *carried: str) -> DataFrame:
     return rows.select("id", *carried, F.posexplode(F.array(*[_band(k) for k in range(BANDS)])).alias("band", "key"))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, n) of the buckets that hold several components."""
+    return rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1").select("key", "n")
+
+
 def link_classes(classes: DataFrame, texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(id, component) of the classes that link with another; classes: id, n_shingles, signature."""
+    """(id, component) of the classes that link with another; classes: id, n_shingles, signature, fine."""
     bands = _bands(classes)
     first = bands.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = bands.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -217,26 +267,19 @@ def link_classes(classes: DataFrame, texts: DataFrame, bucket_rows: int = BUCKET
     # Pass B: what buckets with several components still hide.
     labelled = classes.join(members, "id", "left").withColumn("component", F.coalesce("component", "id"))
     keyed = _bands(labelled, "component")
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-    open_rows = materialise(keyed.join(mixed, "key").select("key", "band", "id", "component", "n"), "open")
-    parts = [open_rows.where(F.col("n") <= bucket_rows).select("key", "band", "id", "component")]
-    large = open_rows.where(F.col("n") > bucket_rows).select("key", "id", "component")
-    for depth in range(4):
+    open_rows = materialise(keyed.join(_mixed(keyed), "key").select("key", F.array("band").alias("bands"), "id", "component", "n"), "open")
+    most = BANDS_COPIED * bucket_rows
+    rows, large = open_rows.where(F.col("n") <= most), open_rows.where(F.col("n") > most)
+    for _ in range(2):
         if large.isEmpty():
             break
-        again = large.join(classes.select("id", "signature"), "id").select("id", "component", F.explode(F.array(*[F.xxhash64("key", F.lit(depth), _band(k)) for k in range(BANDS)])).alias("key"), F.col("key").alias("outer"))
-        # The band that made the outer bucket puts all of it in one part again: such a part is left out.
-        size = again.groupBy("key", "outer").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-        whole = large.groupBy(F.col("key").alias("outer")).agg(F.count(F.lit(1)).alias("all"))
-        size = size.join(whole, "outer")
-        split = materialise(again.join(size.where("n < `all`").drop("outer"), "key").select("key", "id", "component", "n"), "open")
-        parts.append(split.where(F.col("n") <= bucket_rows).select("key", F.lit(-1).alias("band"), "id", "component"))
-        large = split.where(F.col("n") > bucket_rows).select("key", "id", "component")
-    parts.append(large.select("key", F.lit(-1).alias("band"), "id", "component"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part)
-    found = materialise(_across(rows.join(classes, "id")), "across")
+        later = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64("key", _band(k)).alias("inner")) for k in range(BANDS)]), lambda x: x["k"] > F.element_at("bands", -1))
+        again = large.join(classes.select("id", "signature"), "id").select("id", "component", "bands", F.explode(later).alias("next"))
+        again = again.select(F.col("next.inner").alias("key"), F.concat("bands", F.array("next.k")).alias("bands"), "id", "component")
+        split = materialise(again.join(_mixed(again), "key"), "open")
+        rows, large = rows.union(split.where(F.col("n") <= most)), split.where(F.col("n") > most)
+    rows = rows.union(large)
+    found = materialise(_across(rows, classes, bucket_rows), "across")
     more = materialise(_confirmed(found, texts), "links")
     if more.isEmpty():
         return members
@@ -246,10 +289,10 @@ def link_classes(classes: DataFrame, texts: DataFrame, bucket_rows: int = BUCKET
 def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     found = materialise(sketches(docs), "sketches")
-    classes = found.where("n_shingles > 0").groupBy("set_high", "set_low").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+    classes = found.where("n_shingles > 0").groupBy("set_high", "set_low").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("fine").alias("fine"))
     classes = materialise(classes, "classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    members = link_classes(classes.select("id", "n_shingles", "signature"), texts, bucket_rows)
+    members = link_classes(classes.select("id", "n_shingles", "signature", "fine"), texts, bucket_rows)
     labels = classes.select("id", "set_high", "set_low").join(members, "id", "left").select(F.col("set_high").alias("h"), F.col("set_low").alias("l"), F.coalesce("component", "id").alias("component"))
     out = found.select("doc_id", "n_shingles", "set_high", "set_low").join(labels, (F.col("set_high") == F.col("h")) & (F.col("set_low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,14 +41,33 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_near_duplicates_equal_brute_force(docs, texts):
+def test_near_duplicates_equal_brute_force(docs, texts, monkeypatch):
     want = sorted(minhash.brute_force(texts))
     assert rows(minhash.near_duplicates(docs)) == want
     assert rows(minhash.near_duplicates(docs, bucket_rows=3)) == want
+    monkeypatch.setattr(minhash, "BANDS_COPIED", 1)
+    assert rows(minhash.near_duplicates(docs, bucket_rows=2)) == want
     kept = {d for d, _, _, k in want if k}
     assert {r.doc_id for r in minhash.deduplicate(docs).collect()} == kept
 
 
+def test_fine_sketch_loses_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 40, 300, 2000, 20000):
+        kept = []
+        for _ in range(60):
+            apart = int(n * 0.15 / 1.85)  # what each set may have on its own at 0.85
+            pool = rng.integers(0, 2**64, n + apart, dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(pool[apart:])
+            assert minhash.similar(a, b)
+            fine = minhash.unpacked([minhash.fine_sketch(a).tobytes(), minhash.fine_sketch(b).tobytes()])
+            kept.append(minhash.likely(fine[:1], fine[1], np.array([len(a) + len(b)]))[0])
+            c = np.unique(np.concatenate([pool[: n // 2], rng.integers(0, 2**64, n - n // 2, dtype=np.uint64)]))
+            far = minhash.unpacked([minhash.fine_sketch(c).tobytes()])
+            assert n < 300 or not minhash.likely(fine[:1], far[0], np.array([len(a) + len(c)]))[0]
+        assert all(kept)
+
+
 def test_substring_dedup_equals_brute_force(docs, texts):
     assert rows(suffixdedup.deduplicate(docs).drop("kept")) == suffixdedup.brute_force(texts)
 
