@@ -23,6 +23,11 @@ def document_relevance(scores: DataFrame, least: float = 0.7) -> DataFrame:
     return scores.groupBy("query_id").agg(hit.alias("relevant_count"), F.count(F.lit(1)).alias("total_count"), F.round(F.max(s), 9).alias("max_score"), F.round(F.avg(s), 9).alias("avg_score"), (hit > 0).alias("is_relevant"))
 
 
+def fallback_relevance(passages: DataFrame) -> DataFrame:
+    """Without scores a query (query_id, text) is served if any passage has over 20 characters."""
+    return passages.groupBy("query_id").agg(F.coalesce(F.bool_or(F.length(F.trim("text")) > 20), F.lit(False)).alias("is_relevant"))
+
+
 def strategy(docs_relevant: Column, graph_relevant: Column) -> Column:
     return F.when(docs_relevant & graph_relevant, "HYBRID").when(docs_relevant, "DOC_ONLY").when(graph_relevant, "KG_ONLY").otherwise("NO_CONTEXT")
 
@@ -86,3 +91,35 @@ def inconsistent_pairs(answers: DataFrame, alike: float = 0.9, apart: float = 0.
     b = answers.select("answer_set", F.col("name").alias("b"), F.col("answer").alias("tb"), F.col("score").alias("sb"))
     pairs = a.join(b, "answer_set").where("a < b")
     return pairs.where((T.sequence_ratio("ta", "tb") >= alike) & (F.abs(F.col("sa") - F.col("sb")) > apart)).select("answer_set", "a", "b", "sa", "sb")
+
+
+def judged(answers: DataFrame, judge, retries: int = 2) -> DataFrame:
+    """Scores of a judge (a function from answers to answers with ``score``), asked again for inconsistent sets.
+
+    answers: answer_set, name, answer. The last attempt is accepted as it is. ``judge`` also gets the attempt's number.
+    """
+    done, todo = None, answers
+    for attempt in range(retries + 1):
+        scored = checkpointed(judge(todo, attempt))
+        again = inconsistent_pairs(scored).select("answer_set").distinct() if attempt < retries else None
+        fine = scored if again is None else scored.join(again, "answer_set", "left_anti")
+        done = fine if done is None else done.unionByName(fine)
+        if again is None or again.isEmpty():
+            break
+        todo = todo.join(again, "answer_set", "left_semi")
+    return done
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Rows of a model, kept in the shared checkpoint folder where one is named, so that they are asked for once."""
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return rows.checkpoint() if folder else rows
+
+
+def report(figures: DataFrame) -> DataFrame:
+    """One row of figures as a text, a line a column: ``Name: value``."""
+    lines = [F.concat(F.lit(f"{c.replace('_', ' ').capitalize()}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in figures.columns]
+    return figures.select(F.concat_ws("\n", *lines).alias("report"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .search import near_codes
 
 WEIGHTS = (0.4, 0.4, 0.2)
 LABELS = ("symptom", "cause", "remedy")
@@ -55,10 +56,7 @@ def similarity_edges(symptoms: DataFrame, least: float = 0.8, k: int = 5) -> Dat
     rows = symptoms.select("symptom", F.sort_array(T.token_set(F.col("symptom"))).alias("t"), F.array_distinct(T.strict_codes(F.col("symptom"))).alias("codes")).distinct()
     coded = rows.select("symptom", "t", F.explode("codes").alias("code"))
     codes = coded.select("code").distinct()
-    # Codes at most two edits apart share their code with one or two positions left out.
-    cut = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("code")), lambda i: F.transform(F.sequence(i, F.length("code")), lambda j: F.when(i == j, F.concat(F.substring(F.col("code"), F.lit(1), i - 1), F.substring(F.col("code"), i + 1, F.length("code")))).otherwise(F.concat(F.substring(F.col("code"), F.lit(1), i - 1), F.substring(F.col("code"), i + 1, j - i - 1), F.substring(F.col("code"), j + 1, F.length("code"))))))))
-    keys = codes.select("code", F.explode(F.array_union(cut, F.array("code"))).alias("part"))
-    near = keys.select(F.col("code").alias("ca"), "part").join(keys.select(F.col("code").alias("cb"), "part"), "part").select("ca", "cb").distinct().withColumn("d", F.levenshtein("ca", "cb", 2)).where("d >= 0")
+    near = near_codes(codes.select(F.col("code").alias("asked")), codes, 2).select(F.col("asked").alias("ca"), F.col("code").alias("cb"), "d")
     a = coded.select(F.col("symptom").alias("src"), F.col("t").alias("ta"), F.col("code").alias("ca"))
     b = coded.select(F.col("symptom").alias("dst"), F.col("t").alias("tb"), F.col("code").alias("cb"))
     floor = (least - WEIGHTS[0] - WEIGHTS[2] * (1 - F.col("d") / 3)) / WEIGHTS[1]
@@ -86,12 +84,44 @@ def expand(causes: DataFrame, rows: DataFrame) -> DataFrame:
     return causes.join(treated, "cause").join(equipment, "symptom").select("symptom", "cause", "remedy", "equipment")
 
 
-def collect_scored(ranked: DataFrame, paths: DataFrame, most: int = 3) -> DataFrame:
-    """Best paths of ranked symptoms (symptom, score, rank): distinct triplets, by score, rank, cause and remedy."""
+def code_similarity(left: Column, right: Column) -> Column:
+    """1 less a third of the least distance between strict codes of two texts; 0 beyond three edits or without codes."""
+    distances = F.flatten(F.transform(T.strict_codes(left), lambda a: F.transform(T.strict_codes(right), lambda b: F.levenshtein(a, b))))
+    least = F.array_min(distances)
+    return F.when(least <= 3, 1 - least / 3).otherwise(F.lit(0.0))
+
+
+def build_dense(rows: DataFrame, least: float = 0.8, k: int = 5) -> DataFrame:
+    """Paths of the merged graph after similarity edges and one hop of propagation."""
+    return expand(propagate(rows, similarity_edges(rows.select("symptom"), least, k)), rows)
+
+
+def collect_scored(ranked: DataFrame, paths: DataFrame, most: int = 3, by_equipment: str | None = None) -> DataFrame:
+    """Each query's best paths of its ranked symptoms (query_id, symptom, score, rank): distinct triplets.
+
+    Ordered by score, rank, cause and remedy; ``place`` counts from 1 within a query. ``by_equipment``
+    names the column of ranked that holds the only equipment a query wants.
+    """
     rows = paths.join(ranked, "symptom")
-    first = F.row_number().over(Window.partitionBy("symptom", "cause", "remedy").orderBy("rank"))
-    kept = rows.withColumn("nth", first).where("nth = 1").drop("nth")
-    return kept.orderBy(F.col("score").desc(), "rank", "cause", "remedy").limit(most).select("symptom", "cause", "remedy", "equipment", "score")
+    if by_equipment:
+        rows = rows.where(F.col("equipment") == F.col(by_equipment))
+    first = F.row_number().over(Window.partitionBy("query_id", "symptom", "cause", "remedy").orderBy("rank"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank", "cause", "remedy")
+    kept = rows.withColumn("nth", first).where("nth = 1").withColumn("place", F.row_number().over(order).cast("long"))
+    return kept.where(F.col("place") <= most).select("query_id", "place", "symptom", "cause", "remedy", "equipment", "score")
+
+
+def collect_sparse(ranked: DataFrame, most: int = 3) -> DataFrame:
+    """Each query's triplets in order of arrival (query_id, triplet_id, rank and the triplet), once each."""
+    nth = F.row_number().over(Window.partitionBy("query_id", "triplet_id").orderBy("rank"))
+    once = ranked.withColumn("nth", nth).where("nth = 1").drop("nth")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "triplet_id"))
+    return once.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("query_id", "place", "triplet_id", "symptom", "cause", "remedy", "equipment", "score")
+
+
+def property_presence(graph_nodes: DataFrame, *names: str) -> DataFrame:
+    """One row: nodes, and for each property how many have it."""
+    return graph_nodes.agg(F.count(F.lit(1)).alias("nodes"), *(F.count(n).alias(f"with_{n}") for n in names))
 
 
 def orphans(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:

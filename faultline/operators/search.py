@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .embedding import embed, embedded, embedded_queries
 
 K1, B = 1.2, 0.75
+BLOCK, PACK = 4096, 512  # vectors and queries that meet in one task
+CATALOGUE = 10_000  # names that may be broadcast
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,27 +51,44 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, mode: str = "or", lea
     return top_k(scored.where(F.col("score") >= least).select("query_id", key, "score"), k, "query_id", "score", key)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _best_of_block(k: int, least: float, key: str, compat_l2sq: bool):
+    """A function of one block of vectors and one pack of queries: the pack's k best of the block, ties by key."""
 
+    def best(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(vectors) and len(queries):
+            v, q = (np.stack(list(x)).astype(np.float64) for x in (vectors["embedding"], queries["query_vector"]))
+            nv, nq = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
+            score = q @ v.T / np.maximum(np.outer(nq, nv), np.finfo(np.float64).tiny)
+            if compat_l2sq:
+                score = 1 - 2 * (1 - score) ** 2
+            score = np.round(score, 9)
+            floor = np.partition(score, -k, axis=1)[:, -k] if len(v) > k else np.full(len(q), -np.inf)
+            keys = vectors[key].tolist()
+            for n, query in enumerate(queries["query_id"].tolist()):
+                found = np.flatnonzero((score[n] >= floor[n]) & (score[n] >= least))
+                out += [(query, keys[i], score[n, i]) for i in sorted(found, key=lambda i: (-score[n, i], keys[i]))[:k]]
+        return pd.DataFrame(out, columns=["query_id", key, "score"])
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return best
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = -1.0, key: str = "vec_id", compat_l2sq: bool = False) -> DataFrame:
     """Exact nearest vectors: query_id, key, score (cosine), rank. queries: query_id, query_vector.
 
-    The queries of a batch are packed into one row, so the vectors are scanned once and no pair leaves its task
-    before each partition has kept its own k best (Spark's grouped limit under row_number).
+    Vectors are cut into blocks and queries into packs by their counts, so neither side is broadcast. Each task holds
+    one block and one pack, multiplies them and keeps the pack's k best of the block. Null and empty vectors are
+    passed over; a vector without length scores 0.
     """
-    batch = queries.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("batch"))
-    rows = vectors.crossJoin(F.broadcast(batch)).select(key, "embedding", F.explode("batch").alias("q"))
-    score = dot(F.col("q.query_vector"), F.col("embedding")) / (norm(F.col("q.query_vector")) * norm(F.col("embedding")))
-    if compat_l2sq:
-        score = 1 - 2 * (1 - score) * (1 - score)
-    scored = rows.select(F.col("q.query_id").alias("query_id"), key, F.round(score, 9).alias("score")).where(F.col("score") >= least)
-    return top_k(scored, k, "query_id", "score", key)
+    vectors = vectors.where("size(embedding) > 0").select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+    queries = queries.where("size(query_vector) > 0").select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    blocks, packs = (max(1, -(-side.count() // size)) for side, size in ((vectors, BLOCK), (queries, PACK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("pack", every(packs))
+    right = queries.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)).cast("int")).withColumn("block", every(blocks))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
+    found = left.groupBy("block", "pack").cogroup(right.groupBy("block", "pack")).applyInPandas(_best_of_block(k, least, key, compat_l2sq), schema)
+    return top_k(found, k, "query_id", "score", key)
 
 
 def similar_to(vectors: DataFrame, key_value: int, k: int = 5, key: str = "vec_id") -> DataFrame:
@@ -75,6 +97,12 @@ def similar_to(vectors: DataFrame, key_value: int, k: int = 5, key: str = "vec_i
     return vector_search(query, vectors.where(F.col(key) != key_value), k, key=key)
 
 
+def similar_to_each(keys: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id") -> DataFrame:
+    """The nearest vectors of each stored one that ``keys`` names, without itself."""
+    queries = vectors.join(keys.select(key).distinct(), key, "left_semi").select(F.col(key).alias("query_id"), F.col("embedding").alias("query_vector"))
+    return top_k(vector_search(queries, vectors, k + 1, key=key).drop("rank").where(F.col(key) != F.col("query_id")), k, "query_id", "score", key)
+
+
 def index_kind(n: Column) -> Column:
     return F.when(n < 1000, "flat").when(n < 10000, "hnsw").otherwise("ivf")
 
@@ -86,13 +114,29 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return rows
 
 
+def deletions(code: Column, most: int) -> Column:
+    """A code and all that is left of it without up to ``most`` of its characters."""
+    step = out = F.array(code)
+    for _ in range(most):
+        cut = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+        step = F.array_distinct(F.flatten(F.transform(step, cut)))
+        out = F.array_union(out, step)
+    return out
+
+
+def near_codes(asked: DataFrame, codes: DataFrame, most: int) -> DataFrame:
+    """asked, code, d of codes at most ``most`` edits apart: such codes share one of their deletions, an equi-join."""
+    left = asked.select("asked", F.explode(deletions(F.col("asked"), most)).alias("part"))
+    right = codes.select("code", F.explode(deletions(F.col("code"), most)).alias("part"))
+    return left.join(right, "part").select("asked", "code").distinct().withColumn("d", F.levenshtein("asked", "code", most)).where("d >= 0")
+
+
 def levenshtein_search(queries: DataFrame, symptoms: DataFrame, k: int = 5, most: int = 3) -> DataFrame:
     """Symptoms by the least edit distance of their error codes to the query's: query_id, symptom, score, rank."""
     asked = queries.select("query_id", F.explode(F.array_distinct(T.strict_codes(F.col("text")))).alias("asked"))
     known = symptoms.select("symptom", F.explode(F.array_distinct(T.strict_codes(F.col("symptom")))).alias("code"))
-    codes = known.select("code").distinct()
-    near = codes.join(F.broadcast(asked), F.abs(F.length("code") - F.length("asked")) <= most).withColumn("d", F.levenshtein("code", "asked")).where(F.col("d") <= most)
-    rows = known.join(near, "code").groupBy("query_id", "symptom").agg(F.min("d").alias("d"))
+    near = near_codes(asked.select("asked").distinct(), known.select("code").distinct(), most)
+    rows = known.join(near, "code").join(asked, "asked").groupBy("query_id", "symptom").agg(F.min("d").alias("d"))
     return top_k(rows.select("query_id", "symptom", (1 - F.col("d") / most).alias("score")), k, "query_id", "score", "symptom")
 
 
@@ -117,11 +161,39 @@ def max_fusion(rows: DataFrame, k: int = 3, variant_weight: float = 0.8) -> Data
     return top_k(rows.groupBy("query_id", "symptom").agg(F.round(F.max(F.col("score") * weight), 9).alias("score")), k, "query_id", "score", "symptom")
 
 
-def match_equipment(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """asked (query_id, equipment) to the first known (list_no, name): equal, else one within the other, else null."""
+def dense_symptoms(queries: DataFrame, symptoms: DataFrame, k: int = 3, hybrid: bool = True, least: float = 0.8, embedder=embed) -> DataFrame:
+    """Symptoms of the merged graph: the weighted three searches, or vectors alone above a threshold."""
+    near = vector_search(embedded_queries(queries, embedder), embedded(symptoms, F.col("symptom"), embedder), 2 * k, -1.0 if hybrid else least, "symptom")
+    if not hybrid:
+        return near.where(F.col("rank") <= k)
+    lexical = bm25(queries, symptoms.select("symptom", F.col("symptom").alias("text")), 2 * k, key="symptom", clean=T.clean_symptom_query)
+    return hybrid_symptoms([(lexical, 0.4, True), (near, 0.4, True), (levenshtein_search(queries, symptoms, k), 0.2, False)], k)
+
+
+def threshold_symptoms(queries: DataFrame, rows: DataFrame, key: str, text: str, k: int = 3, least: float = 0.8, embedder=embed) -> DataFrame:
+    """The k best rows above a threshold, each with its columns: for triplets of their own, and for combined texts."""
+    found = vector_search(embedded_queries(queries, embedder), embedded(rows, F.col(text), embedder), 2 * k, least, key).where(F.col("rank") <= k)
+    return found.join(rows, key)
+
+
+def top_equipment(asked: DataFrame, known: DataFrame, k: int = 3, least: float = 0.5, embedder=embed) -> DataFrame:
+    """The k nearest names of each asked one, then those of them above the threshold: query_id, name, score, rank."""
+    queries = asked.select("query_id", F.col("equipment").alias("text"))
+    names = known.where(F.trim("name") != "").select("name").distinct()
+    return vector_search(embedded_queries(queries, embedder), embedded(names, F.col("name"), embedder), k, key="name").where(F.col("score") >= least)
+
+
+def match_equipment(asked: DataFrame, known: DataFrame, least: float = 0.9, embedder=embed) -> DataFrame:
+    """asked (query_id, equipment) to one known (list_no, name): the first equal, else the first that holds or is held,
+    else the nearest by vectors above the threshold, else null. Blank names match nothing."""
+    known = known.where(F.trim("name") != "")
+    small = known.limit(CATALOGUE + 1).count() <= CATALOGUE
     a, b = F.lower(F.trim("equipment")), F.lower(F.trim("name"))
     stage = F.when(a == b, 1).when(F.contains(a, b) | F.contains(b, a), 2)
-    rows = asked.join(F.broadcast(known.where(F.trim("name") != "")), F.lit(True), "left").withColumn("stage", stage)  # a catalogue of names
-    order = Window.partitionBy("query_id").orderBy(F.col("stage").asc_nulls_last(), "list_no")
-    best = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return best.select("query_id", F.when(F.col("stage").isNotNull(), F.col("name")).alias("matched"), F.col("stage").cast("long").alias("stage"))
+    named = asked.where(F.trim("equipment") != "")
+    rows = named.join(F.broadcast(known) if small else known, stage.isNotNull()).withColumn("stage", stage)
+    order = Window.partitionBy("query_id").orderBy("stage", "list_no")
+    best = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("query_id", "name", "stage")
+    left = named.join(best, "query_id", "left_anti")
+    nearest = top_equipment(left, known, 1, least, embedder).select("query_id", "name", F.lit(3).alias("stage"))
+    return asked.select("query_id").join(best.union(nearest), "query_id", "left").select("query_id", F.col("name").alias("matched"), F.col("stage").cast("long").alias("stage"))

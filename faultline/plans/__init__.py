@@ -1 +1,3 @@
-"""Composed plans and the registry of queries."""
+"""Registered queries with their SQL."""
+
+from . import registry, symptom_queries  # noqa: F401  the second adds to the first's tables

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, extraction, fusion, graph, search
+from ..operators import chunking, context, embedding, extraction, fusion, graph, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,13 +60,12 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def asked(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """Query texts: the first words of benchmark items."""
-    text = F.array_join(F.slice(T.words(F.col("text")), 1, 3), " ")
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), text.alias("text"))
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query texts: the whole texts of the benchmark items whose id is divisible by 20."""
+    return table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "text")
 
 
-_ASKED = f"asked as (select item_id as query_id, array_to_string(({_W})[1:3], ' ') as text from benchmark where item_id < 20)"
+_ASKED = "asked as (select item_id as query_id, text from benchmark where item_id % 20 = 0)"
 
 # -- text ------------------------------------------------------------------------------------------------------------
 
@@ -121,10 +120,9 @@ def x15(spark, d):
     return scr(spark, d).select("row_no", T.shortened(F.col("symptom")).alias("short"))
 
 
-@query("x16_levenshtein", _SCR + r", c as (select distinct regexp_extract(symptom, '[A-Z]+-\d+') as code from scr where row_no <= 60) select a.code as a, b.code as b, levenshtein(a.code, b.code)::bigint as d from c a join c b on a.code < b.code")
+@query("x16_levenshtein", _SCR + " select row_no, levenshtein(symptom, remedy)::bigint as d from scr")
 def x16(spark, d):
-    c = scr(spark, d).where("row_no <= 60").select(T.first_code(F.col("symptom")).alias("a")).distinct()
-    return c.join(c.select(F.col("a").alias("b")), F.col("a") < F.col("b")).select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
+    return scr(spark, d).select("row_no", F.levenshtein("symptom", "remedy").cast("long").alias("d"))
 
 
 @query("x18_content_hash", "select doc_id, md5(trim(text)) as hash from documents")
@@ -254,11 +252,16 @@ def s06(spark, d):
 
 # -- search and fusion -----------------------------------------------------------------------------------------------
 
-_BM25 = (
-    f"with {_ASKED}, tk as (select doc_id, {terms_sql('text')} as ts from documents), tot as (select count(*) as nd, avg(len(ts)) as ml from tk), pst as (select doc_id, term, count(*) as tf, any_value(len) as len from (select doc_id, len(ts) as len, unnest(ts) as term from tk) group by 1, 2), df as (select term, count(*) as df from pst group by 1), "
-    + f"qt as (select query_id, unnest(list_distinct({terms_sql('text')})) as term from asked), sc as (select query_id, doc_id, round(sum((ln(nd / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / ml))), 9) as score, count(*) as found from pst join qt using (term) join df using (term), tot group by 1, 2), "
-    + "bm as (select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc) where rank <= 10)"
-)
+def bm25_sql(key: str, text: str, source: str, queries: str, k: int, out: str = "bm") -> str:
+    """Table expressions that end in ``out`` (query_id, key, score, rank): the k best rows of source for each query."""
+    return (
+        f"tk as (select {key}, {terms_sql(text)} as ts from {source}), tot as (select count(*) as nd, avg(len(ts)) as ml from tk), pst as (select {key}, term, count(*) as tf, any_value(len) as len from (select {key}, len(ts) as len, unnest(ts) as term from tk) group by 1, 2), df as (select term, count(*) as df from pst group by 1), "
+        f"qt as (select query_id, unnest(list_distinct({terms_sql('text')})) as term from {queries}), sc as (select query_id, {key}, round(sum((ln(nd / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / ml))), 9) as score, count(*) as found from pst join qt using (term) join df using (term), tot group by 1, 2), "
+        f"{out} as (select * from (select query_id, {key}, score, row_number() over (partition by query_id order by score desc, {key}) as rank from sc) where rank <= {k})"
+    )
+
+
+_BM25 = f"with {_ASKED}, " + bm25_sql("doc_id", "text", "documents", "asked", 10)
 
 
 @query("i01_postings", f"select doc_id, term, count(*) as tf, any_value(n)::bigint as length from (select doc_id, len({terms_sql('text')}) as n, unnest({terms_sql('text')}) as term from documents) group by doc_id, term")
@@ -268,7 +271,7 @@ def i01(spark, d):
 
 @query("i05_valid_vectors", "select count(*) as n, min(len(embedding))::bigint as dim, round(min(x), 6) as min_norm, round(max(x), 6) as max_norm, round(avg(x), 6) as mean_norm from (select embedding, sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))) as x from embeddings)")
 def i05(spark, d):
-    x = search.norm(F.col("embedding"))
+    x = embedding.norm(F.col("embedding"))
     return search.valid_vectors(table(spark, d, "embeddings")).agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).cast("long").alias("dim"), F.round(F.min(x), 6).alias("min_norm"), F.round(F.max(x), 6).alias("max_norm"), F.round(F.avg(x), 6).alias("mean_norm"))
 
 
@@ -290,21 +293,22 @@ def q01_all(spark, d):
 _COS = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda v: v::double * v::double))) * sqrt(list_sum(list_transform(b.embedding, lambda v: v::double * v::double)))), 9)"
 
 
-@query("q02_vectors", f"select * from (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select a.vec_id as query_id, b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id < 10)) where rank <= 10")
+@query("q02_vectors", f"select * from (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select a.vec_id as query_id, b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id % 20 = 0)) where rank <= 10")
 def q02(spark, d):
     e = table(spark, d, "embeddings")
-    return search.vector_search(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e)
+    return search.vector_search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e)
 
 
-@query("q03_similar_to_stored", f"select * from (select query_id, vec_id, score, row_number() over (order by score desc, vec_id) as rank from (select a.vec_id as query_id, b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id = 7 and b.vec_id <> 7)) where rank <= 5")
+@query("q03_similar_to_stored", f"select * from (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select a.vec_id as query_id, b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id)) where rank <= 5")
 def q03(spark, d):
-    return search.similar_to(table(spark, d, "embeddings"), 7)
+    e = table(spark, d, "embeddings")
+    return search.similar_to_each(e.where("vec_id % 20 = 0"), e)
 
 
-@query("q06_levenshtein", _SCR + r", k as (select distinct symptom, regexp_extract(symptom, '[A-Z]{3,5}-\d{3,4}') as code from scr), q as (select row_no as query_id, regexp_extract(symptom, '[A-Z]{3,5}-\d{3,4}') as asked from scr where row_no <= 20) select * from (select query_id, symptom, 1 - d / 3.0::double as score, row_number() over (partition by query_id order by d, symptom) as rank from (select query_id, symptom, levenshtein(code, asked) as d from k, q where code <> '' and asked <> '') where d <= 3) where rank <= 5")
+@query("q06_levenshtein", _SCR + r", k as (select distinct symptom, regexp_extract(symptom, '[A-Z]{3,5}-\d{3,4}') as code from scr), q as (select row_no as query_id, regexp_extract(symptom, '[A-Z]{3,5}-\d{3,4}') as asked from scr where row_no % 20 = 0) select * from (select query_id, symptom, 1 - d / 3.0::double as score, row_number() over (partition by query_id order by d, symptom) as rank from (select query_id, symptom, levenshtein(code, asked) as d from k, q where code <> '' and asked <> '') where d <= 3) where rank <= 5")
 def q06(spark, d):
     r = scr(spark, d)
-    return search.levenshtein_search(r.where("row_no <= 20").select(F.col("row_no").alias("query_id"), F.col("symptom").alias("text")), r.select("symptom"))
+    return search.levenshtein_search(r.where("row_no % 20 = 0").select(F.col("row_no").alias("query_id"), F.col("symptom").alias("text")), r.select("symptom"))
 
 
 @query("q12_equipment", "select s_suppkey as query_id, n_name as matched, (case when n_name is not null then 1 end)::bigint as stage from supplier left join nation on n_nationkey = s_nationkey")
@@ -320,14 +324,14 @@ def q14(spark, d):
 
 
 _NORMAL = ", nm as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0 end as normal from bm window w as (partition by query_id))"
-_VEC = f", vec as (select * from (select query_id, vec_id as doc_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select a.vec_id as query_id, b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id < 20)) where rank <= 10), vn as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0 end as normal from vec window w as (partition by query_id))"
+_VEC = f", vec as (select * from (select query_id, vec_id as doc_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select a.vec_id as query_id, b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id % 20 = 0)) where rank <= 10), vn as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0 end as normal from vec window w as (partition by query_id))"
 _FUSED = ", fu as (select * from (select query_id, doc_id, fused, source, row_number() over (partition by query_id order by fused desc, doc_id) as rank from (select query_id, doc_id, round(0.5 * coalesce(nm.normal, 0) + 0.5 * coalesce(vn.normal, 0), 9) as fused, case when nm.score is not null and vn.score is not null then 'Mixed' when nm.score is not null then 'Lexical' else 'Semantic' end as source from nm full join vn using (query_id, doc_id))) where rank <= 10)"
 
 
 def _vectors_as_docs(spark, d):
     """Vector hits; a vector's id stands for the document of the same id."""
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return search.vector_search(e.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector")), e, key="doc_id")
+    return search.vector_search(e.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector")), e, key="doc_id")
 
 
 @query("f01_min_max", _BM25 + _NORMAL + " select query_id, doc_id, round(normal, 9) as normal from nm")
@@ -453,13 +457,6 @@ def h03(spark, d):
     return one("symptom").join(one("cause"), "triplet_id").join(one("remedy"), "triplet_id").select("triplet_id", "symptom", "cause", "remedy", "equipment")
 
 
-@query("h05_scored_triplets", _SCR + _CAUSES + ", rk as (select symptom, 1.0::double / rank as score, rank from (select symptom, row_number() over (order by symptom) as rank from (select distinct symptom from scr)) where rank <= 3) select symptom, cause, remedy, equipment, score from paths join rk using (symptom) order by score desc, rank, cause, remedy limit 7")
-def h05(spark, d):
-    first = scr(spark, d).select("symptom").distinct().orderBy("symptom").limit(3)
-    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("symptom"))).withColumn("score", 1.0 / F.col("rank"))
-    return graph.collect_scored(ranked, h01(spark, d).join(F.broadcast(first), "symptom", "left_semi"), 7)
-
-
 @query("h10_counts", _SCR + " select 'symptom' as what, count(distinct symptom) as n from scr union all select 'cause', count(distinct cause) from scr union all select 'remedy', count(distinct remedy) from scr union all select 'CAUSES', count(*) from (select distinct symptom, cause from scr) union all select 'TREATED_BY', count(*) from (select distinct cause, remedy from scr)")
 def h10(spark, d):
     r = scr(spark, d)
@@ -503,9 +500,9 @@ def h16(spark, d):
     return graph.remedy_sharing(h01(spark, d))
 
 
-@query("h08_context", _SCR + " select equipment as query_id, string_agg(symptom || ' → ' || cause || ' → ' || remedy, chr(10) order by row_no) as context from scr where row_no <= 40 group by equipment")
+@query("h08_context", _SCR + " select equipment as query_id, string_agg(symptom || ' → ' || cause || ' → ' || remedy, chr(10) order by row_no) as context from scr group by equipment")
 def h08(spark, d):
-    rows = scr(spark, d).where("row_no <= 40").select(F.col("equipment").alias("query_id"), F.col("row_no").alias("rank"), "symptom", "cause", "remedy")
+    rows = scr(spark, d).select(F.col("equipment").alias("query_id"), F.col("row_no").alias("rank"), "symptom", "cause", "remedy")
     return context.graph_context(rows)
 
 
@@ -524,14 +521,6 @@ def q11(spark, d):
     return search.max_fusion(v)
 
 
-@query("q07_hybrid_symptoms")
-def q07(spark, d):
-    r = scr(spark, d).select("symptom").distinct()
-    q = scr(spark, d).where("row_no <= 20").select(F.col("row_no").alias("query_id"), F.col("symptom").alias("text"))
-    lexical = search.bm25(q, r.withColumn("text", F.col("symptom")), 10, key="symptom", clean=T.clean_symptom_query)
-    return search.hybrid_symptoms([(lexical, 0.4, True), (search.levenshtein_search(q, r), 0.2, False)])
-
-
 @query("u01_rewrite")
 def u01(spark, d):
     return context.rewrite_query(scr(spark, d).select(F.col("row_no").alias("query_id"), F.col("symptom").alias("text")))
