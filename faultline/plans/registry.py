@@ -285,11 +285,6 @@ def q01(spark, d):
     return search.bm25(asked(spark, d), docs_of(spark, d))
 
 
-@query("q01_bm25_all_terms", _BM25 + ", nt as (select query_id, count(*) as n from qt group by 1) select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc join nt using (query_id) where found = n) where rank <= 10")
-def q01_all(spark, d):
-    return search.bm25(asked(spark, d), docs_of(spark, d), mode="and")
-
-
 _COS = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda v: v::double * v::double))) * sqrt(list_sum(list_transform(b.embedding, lambda v: v::double * v::double)))), 9)"
 
 
@@ -369,10 +364,10 @@ def flagship(spark, d):
     return fusion.rerank(_candidates(spark, d)).select("query_id", "doc_id", "original_rank", "rerank_score", "rank")
 
 
-@query("r01_budget", _BM25 + f", t as (select query_id, rank, doc_id, sum(floor(len({_W}) * 0.75)) over (partition by query_id order by rank) as tokens from bm join documents using (doc_id)) select query_id, doc_id, tokens::bigint as tokens from t where rank <= 3 and tokens <= 600")
+@query("r01_budget", _BM25 + f", t as (select query_id, rank, doc_id, sum(floor(len({_W}) * 0.75)) over (partition by query_id order by rank) as tokens from bm join documents using (doc_id)) select query_id, doc_id, tokens::bigint as tokens from t where rank <= 3 and tokens <= 6000")
 def r01(spark, d):
     rows = q01(spark, d).join(docs_of(spark, d).select("doc_id", "text"), "doc_id")
-    return context.within_budget(rows, 600).select("query_id", "doc_id", "tokens")
+    return context.within_budget(rows).select("query_id", "doc_id", "tokens")
 
 
 @query("r02_relevance", _BM25 + ", s as (select query_id, 1 / (1 + exp(-(score - 8))) as p from bm) select query_id, count(*) filter (p >= 0.7) as relevant_count, count(*) as total_count, round(max(p), 9) as max_score, round(avg(p), 9) as avg_score, count(*) filter (p >= 0.7) > 0 as is_relevant from s group by query_id")

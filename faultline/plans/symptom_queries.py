@@ -86,6 +86,11 @@ def q04(spark, d):
     return search.bm25(symptom_queries(spark, d), symptoms(spark, d).withColumn("text", F.col("symptom")), 5, key="symptom", clean=T.clean_symptom_query)
 
 
+@query("q01_bm25_all_terms", _ASK + ", " + bm25_sql("symptom", "symptom", "sy", "q", 10) + ", nt as (select query_id, count(*) as n from qt group by 1) select * from (select query_id, symptom, score, row_number() over (partition by query_id order by score desc, symptom) as rank from (select query_id, symptom, score from sc join nt using (query_id) where found = n)) where rank <= 10")
+def q01_all(spark, d):
+    return search.bm25(symptom_queries(spark, d), symptoms(spark, d).withColumn("text", F.col("symptom")), key="symptom", mode="and")
+
+
 @query("q05_symptom_vectors", _ASK + ", " + near_sql("qv", "sv", "symptom", 5, -1, "nr") + " select * from nr")
 def q05(spark, d):
     return search.vector_search(embedding.embedded_queries(symptom_queries(spark, d)), embedding.embedded(symptoms(spark, d), F.col("symptom")), 5, key="symptom")

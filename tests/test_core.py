@@ -8,7 +8,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from faultline.functions import text as T  # noqa: E402
-from faultline.operators import chunking, context, fusion, graph  # noqa: E402
+from faultline import sources  # noqa: E402
+from faultline.operators import chunking, context, embedding, fusion, graph, search  # noqa: E402
 from faultline.plans import registry  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -60,6 +61,98 @@ def test_budget_relevance_and_propagation(spark):
     assert ("s2", "c") in got and ("s3", "c") not in got
 
 
+def test_equipment_golden(spark):
+    def matched(asked, names):
+        known = spark.createDataFrame(list(enumerate(names)), "list_no long, name string")
+        return tuple(search.match_equipment(spark.createDataFrame([(1, asked)], "query_id long, equipment string"), known).first()[1:])
+
+    names = ["", "FANUC R-30iB Controller", "ABB IRC5", "KUKA KR C4"]
+    assert matched(" abb irc5 ", names) == ("ABB IRC5", 1)
+    assert matched("FANUC", names) == ("FANUC R-30iB Controller", 2)
+    assert matched("IRC5 ABB", names) == ("ABB IRC5", 3)
+    assert matched("Unknown Robot", names) == (None, None)
+    assert matched("", names) == matched(None, names) == (None, None)
+
+
+def test_vector_search_in_blocks_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "PACK", 3)
+    v = np.random.default_rng(5).integers(-2, 3, (60, 4)).astype(float)  # many ties, some zero vectors
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(60, None), (61, [])], "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id % 7 = 0").selectExpr("vec_id as query_id", "embedding as query_vector")
+    n = np.maximum(np.linalg.norm(v, axis=1), 1e-300)
+    want = {q: sorted(((-round(float(v[q] @ v[i] / n[q] / n[i]), 9), i) for i in range(60)))[:5] for q in range(0, 60, 7)}
+    got = {}
+    for r in search.vector_search(queries, rows, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == want
+    assert search.vector_search(queries, rows.limit(0), 5).count() == search.vector_search(queries.limit(0), rows, 5).count() == 0
+
+
+def test_near_codes_equals_brute_force(spark):
+    codes = ["ACAL-006", "ACAL-007", "ACAM-106", "CAL-006", "SYST-001", "SYTS-0012"]
+    one = spark.createDataFrame([(c,) for c in codes], "code string")
+    both = one.withColumnRenamed("code", "asked").crossJoin(one).withColumn("d", F.levenshtein("asked", "code")).where("d <= 3")
+    assert sorted(map(tuple, search.near_codes(one.withColumnRenamed("code", "asked"), one, 3).collect())) == sorted(map(tuple, both.collect()))
+    s = spark.createDataFrame([("ACAL-006 stop", "acal-007"), ("none", "ACAL-006"), (None, "x")], "a string, b string")
+    assert [round(r[0], 4) for r in s.select(graph.code_similarity(F.col("a"), F.col("b"))).collect()] == [0.6667, 0.0, 0.0]
+
+
+def test_embedder(spark):
+    rows = spark.createDataFrame([("motor motor fault",), ("",), (None,)], "text string")
+    got = embedding.embedded(rows, F.col("text")).collect()
+    assert [r["dim"] for r in got] == [256] * 3 and [round(r["norm"], 9) for r in got] == [1.0, 0.0, 0.0]
+    assert sorted(round(x, 6) for x in got[0]["embedding"] if x) == [0.447214, 0.894427]
+    assert tuple(embedding.quality(embedding.embedded(rows, F.col("text"))).first())[:3] == (3, 2, 2)
+
+
+def test_judge_is_asked_again(spark):
+    answers = spark.createDataFrame([(s, n, "the same answer") for s in (1, 2) for n in ("classic", "dense")], "answer_set long, name string, answer string")
+    asked = []
+
+    def judge(rows, attempt):
+        asked.append(attempt)
+        wrong = (F.col("answer_set") == 2) & (F.col("name") == "dense") & F.lit(attempt == 0)
+        return rows.withColumn("score", F.when(wrong, 5.0).otherwise(3.0))
+
+    got = context.judged(answers, judge).collect()
+    assert asked == [0, 1] and len(got) == 4 and {r.score for r in got} == {3.0}
+
+
+def test_scored_triplets(spark):
+    ranked = spark.createDataFrame([(1, "s1", 0.9, 1), (1, "s2", 0.9, 2), (2, "s2", 0.5, 1)], "query_id long, symptom string, score double, rank long")
+    paths = spark.createDataFrame([("s1", "c", "r", "E1"), ("s1", "c", "r", "E1"), ("s2", "d", "r", "E2")], "symptom string, cause string, remedy string, equipment string")
+    got = graph.collect_scored(ranked, paths).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.place, r.symptom) for r in got] == [(1, 1, "s1"), (1, 2, "s2"), (2, 1, "s2")]
+    report = context.report(spark.createDataFrame([(3, None)], "rows_read long, other string")).first()[0]
+    assert report == "Rows read: 3\nOther: -"
+
+
+def test_sources(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.json").write_text('{"document_id": "a", "num_pages": 2,\n "pages": [{"page_number": 1, "text": "x y"}, {"page_number": 2}]}')
+    (docs / "b.json").write_text("{ broken")
+    assert [tuple(r) for r in sources.read_documents(spark, str(docs)).collect()] == [("a", 1, "x y")]
+    chunks = spark.createDataFrame([("a", 0, " one two ", 2, 9), ("a", 1, " ", 0, 1)], "document_id string, chunk_id long, text string, word_count long, char_count long")
+    sources.write_chunks(chunks, str(tmp_path / "chunks"))
+    assert sources.read_chunks(spark, str(tmp_path / "chunks")).count() == 2
+    assert [(r.text, r.quality_score) for r in sources.read_chunks(spark, str(tmp_path / "chunks"), lexical=True).collect()] == [("one two", 1.0)]
+    rows = spark.createDataFrame([('say "hi", now', "c\nd", "EQ")], "symptom string, cause string, equipment string")
+    sources.write_triplets(rows, str(tmp_path / "csv"))
+    back = sources.read_triplets(spark, str(tmp_path / "csv")).first()
+    assert (back.symptom, back.cause, back.equipment) == ('say "hi", now', "c\nd", "EQ")
+    sources.write_triplets(rows.drop("equipment"), str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        sources.read_triplets(spark, str(tmp_path / "bad"))
+    store = sources.GraphStore(spark, str(tmp_path / "graph"))
+    store.save(spark.range(2), spark.range(3))
+    second = sources.GraphStore(spark, str(tmp_path / "missing"), str(tmp_path / "graph"))
+    assert [x.count() for x in second.load()] == [2, 3]
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_oracle(spark, name):
     import duckdb
