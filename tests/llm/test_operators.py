@@ -51,6 +51,26 @@ def test_near_duplicates_equal_brute_force(docs, texts, monkeypatch):
     assert {r.doc_id for r in minhash.deduplicate(docs).collect()} == kept
 
 
+def test_near_duplicates_between_80_and_85_percent(spark):
+    """The pipeline's stage removes near copies at 0.8 or more; op5's 85 keeps those of under 0.85."""
+    import corpus_pipeline as p
+
+    cases = []
+    for k in range(12):  # four to seven edits: 0.87, 0.84, 0.82 and 0.79
+        body = [f"w{k}x{i}" for i in range(300)]
+        cases.append((2 * k, " ".join(body)))
+        for i in range(4, 4 + 5 * (4 + k % 4), 5):
+            body[i] = "other"
+        cases.append((2 * k + 1, " ".join(body)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in cases], DOC)
+    want = {q: {d for d, _, _, kept in minhash.brute_force(cases, q) if kept} for q in (80, 85)}
+    assert want[80] < want[85]
+    assert {r.doc_id for r in p.near_duplicates_stage(spark, df, SMALL).collect()} == want[80]
+    for q in (80, 85):
+        assert rows(minhash.near_duplicates(df, percent=q)) == sorted(minhash.brute_force(cases, q))
+    assert minhash.agree(85) == 0.65 and minhash.agree(80) == 0.55 and minhash.splits(85) == 2 and minhash.splits(80) == 1
+
+
 def test_fine_sketch_loses_no_similar_pair():
     rng = np.random.default_rng(3)
     for n in (1, 7, 40, 300, 2000, 20000):
