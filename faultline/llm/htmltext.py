@@ -6,8 +6,10 @@ A page with an article gives the article's blocks. For the others, the token str
 articles are concatenated and sorted as a suffix array to a depth of RUN tokens; runs that occur on at least PAGES
 pages of different content are boilerplate, and the open blocks keep their tokens outside of such runs.
 
-Hosts are dealt in chunks of about CHUNK pages by a hash of page_id: a large host is many groups, each with enough
-pages to show what repeats, and no task gets an unbounded host.
+A host's different contents (the texts outside articles) are dealt by their hash into groups of about CHUNK contents
+and CHARS characters, so no task gets an unbounded host. A group's suffix array only names its runs (64-bit hashes) and
+counts the contents of each; a content is in one group, so the sum over a host's groups is the number of contents on the
+whole host. The runs that are boilerplate go back to the groups that have them. The result is the same for any dealing.
 
 Defined cases: null or empty html gives an empty text; a null url belongs to the host ''; a page that is cut off
 within a tag loses the tag only; rows with equal page_id are extracted one by one; an empty table gives no rows.
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ from .common import materialise, slices
 RUN = 5
 PAGES = 3
 CHUNK = 400
+CHARS = 4_000_000
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -124,29 +128,50 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def covered(pages_blocks: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[list[np.ndarray]]:
-    """For each block of each page, which of its tokens lie in a run that occurs on enough different pages.
+_M = np.uint64(0x9E3779B97F4A7C15)
+_S31 = np.uint64(31)
+
+
+def _stream(contents: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The concatenated token hashes, each one's content, the first token of each block (and the end) for each content,
+    where a run of ``run`` tokens within a block starts, and the name of the run at each place."""
+    codes, sizes, edges = [], [], []
+    at = 0
+    for blocks_of in contents:
+        own = [b.split(" ") for b in blocks_of]
+        codes += [xxhash.xxh3_64_intdigest(t) for b in own for t in b]
+        edges.append(at + np.cumsum([0, *map(len, own)]))
+        at = int(edges[-1][-1])
+        sizes.append(edges[-1][-1] - edges[-1][0])
+    flat = np.array(codes, dtype=np.uint64)
+    starts = np.zeros(at, dtype=bool)
+    for own in edges:
+        for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True):
+            starts[a : max(a, b - run + 1)] = True
+    names = flat[: max(0, at - run + 1)].copy()
+    for j in range(1, run if len(names) else 0):
+        names ^= names >> _S31
+        names *= _M
+        names += flat[j : j + len(names)]
+    names = np.append(names, np.zeros(at - len(names), dtype=np.uint64))
+    return flat, np.repeat(np.arange(len(contents)), sizes), edges, starts, names
+
+
+def _units(blocks_of: list[str], run: int) -> list[tuple[int, int, int]]:
+    """Blocks that count as a whole (first, stop, name): those shorter than a run."""
+    return [(k, k + 1, xxhash.xxh3_64_intdigest("\n" + b)) for k, b in enumerate(blocks_of) if b.count(" ") + 1 < run]
+
+
+def repeats(contents: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """The names of all runs and units of different contents, and on how many of these each occurs.
 
     The suffix array of the concatenated streams is built by prefix doubling as far as depth ``run``: suffixes of equal
-    rank share their first ``run`` tokens. A token of its own ends each block, so that no run crosses blocks; a block
-    of fewer tokens is boilerplate as a whole if enough different pages have it.
+    rank share their first ``run`` tokens. Runs that cross blocks are left out.
     """
-    ids: dict[str, int] = {}
-    flat, owner, starts, short = [], [], [], {}
-    contents: dict[tuple, int] = {}
-    for blocks_of in pages_blocks:
-        content = contents.setdefault(tuple(blocks_of), len(contents))  # copies of a page are one witness
-        for block in blocks_of:
-            own = [ids.setdefault(t, len(ids)) for t in block.split(" ")]
-            if len(own) < run:
-                short.setdefault(block, set()).add(content)
-            starts.append(len(flat))
-            flat += own
-            flat.append(-1 - len(starts))
-            owner += [content] * (len(own) + 1)
+    flat, who, _, starts, names = _stream(contents, run)
     n = len(flat)
-    rank = np.unique(np.array(flat, dtype=np.int64), return_inverse=True)[1].astype(np.int64)
-    at, depth, who = np.arange(n), 1, np.array(owner)
+    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    at, depth = np.arange(n), 1
     while depth < run:
         step = min(depth, run - depth)
         ahead = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
@@ -156,29 +181,43 @@ def covered(pages_blocks: list[list[str]], run: int = RUN, pages: int = PAGES) -
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(new) - 1
         depth += step
-    pairs = np.unique(np.stack([rank, who]), axis=1)
-    seen = np.bincount(pairs[0], minlength=int(rank.max(initial=0)) + 1)
-    hit = seen[rank] >= pages
-    edges = np.zeros(n + run + 1, dtype=np.int64)
-    np.add.at(edges, at[hit], 1)
-    np.add.at(edges, at[hit] + run, -1)
-    mask = np.cumsum(edges)[:n] > 0
-    out, place = [], iter(starts)
-    for blocks_of in pages_blocks:
-        masks = []
-        for block in blocks_of:
-            at_block, size = next(place), block.count(" ") + 1
-            masks.append(np.full(size, len(short[block]) >= pages) if size < run else mask[at_block : at_block + size])
-        out.append(masks)
+    ranks, first = np.unique(rank[starts], return_index=True)
+    pairs = np.unique(np.stack([rank[starts], who[starts]]), axis=1)
+    counts = np.bincount(pairs[0], minlength=n + 1)[ranks]
+    units: dict[int, int] = {}
+    for blocks_of in contents:
+        for name in {name for _, _, name in _units(blocks_of, run)}:
+            units[name] = units.get(name, 0) + 1
+    return np.append(names[starts][first], np.array(list(units), dtype=np.uint64)), np.append(counts, np.array(list(units.values()), dtype=np.int64))
+
+
+def without(contents: list[list[str]], names: np.ndarray, run: int = RUN) -> list[list[str | None]]:
+    """The blocks of contents without the tokens of named runs and units; null for a block that goes whole."""
+    flat, _, edges, starts, own = _stream(contents, run)
+    hit = np.flatnonzero(starts & np.isin(own, names))
+    ends = np.zeros(len(flat) + run + 1, dtype=np.int64)
+    ends[hit] += 1
+    ends[hit + run] -= 1
+    known = set(names.tolist())
+    for blocks_of, at in zip(contents, edges, strict=True):
+        for a, b, name in _units(blocks_of, run):
+            if name in known:
+                ends[at[a]] += 1
+                ends[at[b]] -= 1
+    gone = np.cumsum(ends) > 0
+    out = []
+    for blocks_of, at in zip(contents, edges, strict=True):
+        kept = [" ".join(w for w, c in zip(b.split(" "), gone[a:], strict=False) if not c) for b, a in zip(blocks_of, at.tolist(), strict=False)]
+        out.append([b or None for b in kept])
     return out
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, article (text, or null if the page has none), zones and texts of the blocks outside."""
+    """page_id, url, article (text, or null if the page has none), zones, texts and content hash of the blocks outside."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            texts, zones, others = [], [], []
+            texts, zones, others, contents = [], [], [], []
             for page in batch["html"].to_pylist():
                 found = blocks(page)
                 article = [t for zone, t in found if zone == "article"]
@@ -186,27 +225,23 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 texts.append("\n".join(article) if article else None if any(z == "open" for z, _ in outside) else "")
                 zones.append([z == "open" for z, _ in outside])
                 others.append([t for _, t in outside])
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(zones, pa.list_(pa.bool_())), pa.array(others, pa.list_(pa.string()))], names=["page_id", "url", "article", "open", "outside"])
+                contents.append(xxhash.xxh3_128_digest("\n".join(others[-1])))
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(zones, pa.list_(pa.bool_())), pa.array(others, pa.list_(pa.string())), pa.array(contents, pa.binary())], names=["page_id", "url", "article", "open", "outside", "content"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(scan, "page_id long, url string, article string, open array<boolean>, outside array<string>")
-
-
-def _undecided(table: pa.Table) -> pa.Table:
-    """The texts of one chunk's pages without an article."""
-    rows = table.to_pylist()
-    todo = [k for k, r in enumerate(rows) if r["article"] is None]
-    texts = []
-    if todo:
-        masks = covered([r["outside"] for r in rows])
-        for k in todo:
-            kept = []
-            for block, is_open, gone in zip(rows[k]["outside"], rows[k]["open"], masks[k], strict=True):
-                own = [w for w, c in zip(block.split(" "), gone, strict=True) if not c] if is_open else []
-                if own:
-                    kept.append(" ".join(own))
-            texts.append("\n".join(kept))
-    return pa.table({"page_id": pa.array([rows[k]["page_id"] for k in todo], pa.int64()), "url": pa.array([rows[k]["url"] for k in todo], pa.string()), "text": pa.array(texts, pa.string())})
+    return rows.mapInArrow(scan, "page_id long, url string, article string, open array<boolean>, outside array<string>, content binary")
+
+
+def _find(table: pa.Table) -> pa.Table:
+    """The runs of one group, with the number of its contents that have them."""
+    names, counts = repeats(table["outside"].to_pylist())
+    return pa.table({"host": pa.repeat(table["host"][0], len(names)), "part": pa.repeat(table["part"][0], len(names)), "name": pa.array(names.view(np.int64)), "n": pa.array(counts, pa.int64())})
+
+
+def _mask(table: pa.Table, hits: pa.Table) -> pa.Table:
+    """The contents of one group without the host's boilerplate."""
+    kept = without(table["outside"].to_pylist(), hits["name"].to_numpy().astype(np.int64).view(np.uint64))
+    return pa.table({"host": table["host"], "content": table["content"], "kept": pa.array(kept, pa.list_(pa.string()))})
 
 
 def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -214,8 +249,17 @@ def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     parsed = materialise(_parsed(pages), "html")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1), F.lit("")))
     decided = parsed.where("article is not null").select("page_id", "url", F.col("article").alias("text"))
-    streams = parsed.select("page_id", "url", F.when(F.col("article").isNotNull(), F.lit("")).alias("article"), "open", "outside", host.alias("host"))
-    counts = streams.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"), F.count_if(F.col("article").isNull()).alias("todo")).where("todo > 0").select(F.col("host").alias("h"), "chunks")
-    groups = streams.join(counts, F.col("host") == F.col("h")).withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("chunks")))
-    rest = groups.select(F.concat_ws(" ", "part", "host").alias("group"), "page_id", "url", "article", "open", "outside").groupBy("group").applyInArrow(_undecided, "page_id long, url string, text string")
+    streams = parsed.withColumn("host", host).withColumn("todo", F.col("article").isNull())
+    undecided = streams.where("todo").select("page_id", "url", "host", "content", "open")
+    hosts = undecided.select(F.col("host").alias("h")).distinct()
+    different = streams.where(F.size("outside") > 0).join(hosts, F.col("host") == F.col("h"), "left_semi").groupBy("host", "content").agg(F.first("outside").alias("outside"), F.max("todo").alias("todo"))
+    contents = materialise(different.withColumn("chars", F.length(F.array_join("outside", " "))), "contents")
+    sizes = contents.groupBy(F.col("host").alias("h")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("chars") / CHARS)).cast("int").alias("parts"), F.lit(PAGES).alias("need"))
+    dealt = contents.join(sizes, F.col("host") == F.col("h")).select("host", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int").alias("part"), "content", "outside", "todo")
+    found = materialise(dealt.groupBy("host", "part").applyInArrow(_find, "host string, part int, name long, n long"), "runs")
+    whole = found.groupBy("host", "name").agg(F.sum("n").alias("n")).join(sizes, F.col("host") == F.col("h")).where("n >= need").select("host", "name")
+    hits = found.join(whole, ["host", "name"], "left_semi").select("host", "part", "name")
+    kept = dealt.where("todo").select("host", "part", "content", "outside").groupBy("host", "part").cogroup(hits.groupBy("host", "part")).applyInArrow(_mask, "host string, content binary, kept array<string>")
+    text = F.array_join(F.transform(F.filter(F.arrays_zip("kept", "open"), lambda x: x["open"] & x["kept"].isNotNull()), lambda x: x["kept"]), "\n")
+    rest = undecided.join(kept, ["host", "content"], "left").select("page_id", "url", text.alias("text"))
     return decided.union(rest).withColumn("n_chars", F.length("text").cast("long"))

@@ -223,6 +223,18 @@ def test_html(spark):
     assert got[3] == "Own text 3 of page 21 here" and got[9] == "" and got[10] == "Head & line\nOne two\nthree"
 
 
+def test_html_counts_repeats_over_the_whole_host(spark):
+    """What three of a host's pages share goes, however the host is dealt into groups; copies are one witness."""
+    notice = "This notice stands on three pages of the host and nowhere else"
+    plain = [(k, f"http://h/{k}", f"<p>Own{k} w{k}a w{k}b w{k}c w{k}d w{k}e w{k}f w{k}g w{k}h</p>" + f"<div>{notice}</div>" * (k % 8 == 0)) for k in range(24)]
+    plain += [(30 + k, "http://h/copy", "<p>a page that stands here three times and so is one witness</p>") for k in range(3)]
+    df = spark.createDataFrame(plain, "page_id long, url string, html string")
+    for chunk in (400, 7, 2, 1):
+        got = {r.page_id: r.text for r in htmltext.extract(df, chunk=chunk).collect()}
+        assert all(got[k] == f"Own{k} w{k}a w{k}b w{k}c w{k}d w{k}e w{k}f w{k}g w{k}h" for k in range(24)) and len(got) == 27
+        assert all(got[30 + k] == "a page that stands here three times and so is one witness" for k in range(3))
+
+
 def test_toxicity_learns_held_out(spark):
     rng = random.Random(1)
     data = []
