@@ -3,8 +3,10 @@
 A page is cut into blocks of visible text with their zone: ``article`` (inside article or main), ``chrome`` (inside
 menus, headers, footers, sidebars, notices, adverts, forms or comments, by element, role, class or id) or ``open``.
 A page with an article gives the article's blocks. For the others, the token streams of a host's pages outside
-articles are concatenated and sorted as a suffix array to a depth of RUN tokens; runs that occur on at least PAGES
-pages of different content are boilerplate, and the open blocks keep their tokens outside of such runs.
+articles are concatenated and sorted as a suffix array to a depth of RUN tokens, and the open blocks keep their tokens
+outside of boilerplate. Boilerplate is what occurs on at least PERCENT of the host's different undecided contents, and
+on PAGES at least: a run of RUN tokens within a block, or whole blocks that have UNIT tokens together (one block, or
+consecutive short ones as in a menu). So a phrase, a short quotation within a paragraph or a lone heading stays.
 
 A host's different contents (the texts outside articles) are dealt by their hash into groups of about CHUNK contents
 and CHARS characters, so no task gets an unbounded host. A group's suffix array only names its runs (64-bit hashes) and
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices
 
-RUN = 5
+RUN = 30
+UNIT = 8
 PAGES = 3
+PERCENT = 10
 CHUNK = 400
 CHARS = 4_000_000
 
@@ -157,9 +161,18 @@ def _stream(contents: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray
     return flat, np.repeat(np.arange(len(contents)), sizes), edges, starts, names
 
 
-def _units(blocks_of: list[str], run: int) -> list[tuple[int, int, int]]:
-    """Blocks that count as a whole (first, stop, name): those shorter than a run."""
-    return [(k, k + 1, xxhash.xxh3_64_intdigest("\n" + b)) for k, b in enumerate(blocks_of) if b.count(" ") + 1 < run]
+def _units(blocks_of: list[str], unit: int = UNIT) -> list[tuple[int, int, int]]:
+    """Whole blocks (first, stop, name): from each block on, as many as have ``unit`` tokens together."""
+    sizes, out, stop, tokens = [b.count(" ") + 1 for b in blocks_of], [], 0, 0
+    for first in range(len(blocks_of)):
+        while stop < len(blocks_of) and tokens < unit:
+            tokens += sizes[stop]
+            stop += 1
+        if tokens < unit:
+            break
+        out.append((first, stop, xxhash.xxh3_64_intdigest("\n".join(["", *blocks_of[first:stop]]))))
+        tokens -= sizes[first]
+    return out
 
 
 def repeats(contents: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +199,7 @@ def repeats(contents: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.n
     counts = np.bincount(pairs[0], minlength=n + 1)[ranks]
     units: dict[int, int] = {}
     for blocks_of in contents:
-        for name in {name for _, _, name in _units(blocks_of, run)}:
+        for name in {name for _, _, name in _units(blocks_of)}:
             units[name] = units.get(name, 0) + 1
     return np.append(names[starts][first], np.array(list(units), dtype=np.uint64)), np.append(counts, np.array(list(units.values()), dtype=np.int64))
 
@@ -200,7 +213,7 @@ def without(contents: list[list[str]], names: np.ndarray, run: int = RUN) -> lis
     ends[hit + run] -= 1
     known = set(names.tolist())
     for blocks_of, at in zip(contents, edges, strict=True):
-        for a, b, name in _units(blocks_of, run):
+        for a, b, name in _units(blocks_of):
             if name in known:
                 ends[at[a]] += 1
                 ends[at[b]] -= 1
@@ -254,7 +267,7 @@ def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     hosts = undecided.select(F.col("host").alias("h")).distinct()
     different = streams.where(F.size("outside") > 0).join(hosts, F.col("host") == F.col("h"), "left_semi").groupBy("host", "content").agg(F.first("outside").alias("outside"), F.max("todo").alias("todo"))
     contents = materialise(different.withColumn("chars", F.length(F.array_join("outside", " "))), "contents")
-    sizes = contents.groupBy(F.col("host").alias("h")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("chars") / CHARS)).cast("int").alias("parts"), F.lit(PAGES).alias("need"))
+    sizes = contents.groupBy(F.col("host").alias("h")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("chars") / CHARS)).cast("int").alias("parts"), F.greatest(F.lit(PAGES), F.ceil(F.count_if("todo") * PERCENT / 100)).alias("need"))
     dealt = contents.join(sizes, F.col("host") == F.col("h")).select("host", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int").alias("part"), "content", "outside", "todo")
     found = materialise(dealt.groupBy("host", "part").applyInArrow(_find, "host string, part int, name long, n long"), "runs")
     whole = found.groupBy("host", "name").agg(F.sum("n").alias("n")).join(sizes, F.col("host") == F.col("h")).where("n >= need").select("host", "name")

@@ -235,6 +235,24 @@ def test_html_counts_repeats_over_the_whole_host(spark):
         assert all(got[30 + k] == "a page that stands here three times and so is one witness" for k in range(3))
 
 
+def test_html_keeps_common_phrases_of_main_text(spark):
+    """Phrases, headings and a quotation that some pages share stay; menus, notices and long runs of the host go."""
+    phrase, quotation = "as a matter of fact we", " ".join(f"q{k}" for k in range(35))
+    menu, terms = "".join(f"<li>Item {k}</li>" for k in range(6)), " ".join(f"t{k}" for k in range(40))
+    plain, want = [], {}
+    for k in range(60):
+        own = f"Page{k} says {phrase} x{k} y{k}" + (f" {quotation} end{k}" if k < 4 else "")
+        plain.append((k, f"http://h/{k}", f"<ul>{menu}</ul><h2>Introduction</h2><p>{own}</p><h2>See also</h2><p>p{k} q{k} r{k} s{k} {terms}</p><p>Last words of page {k} z{k} here, not shared</p>"))
+        want[k] = f"Introduction\n{own}\nSee also\np{k} q{k} r{k} s{k}\nLast words of page {k} z{k} here, not shared"
+    df = spark.createDataFrame(plain, "page_id long, url string, html string")
+    for chunk in (400, 9):
+        assert {r.page_id: r.text for r in htmltext.extract(df, chunk=chunk).collect()} == want
+    for blocks in (["a b", "c d e f g h", "i"], ["a"] * 9, ["a"] * 3, []):
+        sizes = [len(b.split()) for b in blocks]
+        stops = [(i, next((j for j in range(i + 1, len(blocks) + 1) if sum(sizes[i:j]) >= 8), None)) for i in range(len(blocks))]
+        assert [u[:2] for u in htmltext._units(blocks)] == [x for x in stops if x[1]]
+
+
 def test_toxicity_learns_held_out(spark):
     rng = random.Random(1)
     data = []
