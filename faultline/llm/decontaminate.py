@@ -8,7 +8,8 @@ The benchmark is broadcast in blocks of at most ``block_bytes`` of text. One blo
 documents pass through one scan for each block and the hits add up, so nothing that is broadcast grows without bound.
 
 Defined cases: null and empty texts have no words and are clean; an item without words has no window; equal items
-count once for each distinct item_id; rows with equal doc_id are judged one by one; empty tables give empty (or all
+count once for each distinct item_id; items without item_id count as one item, which items_sha256 does not name (as in
+the SQL); a null doc_id is judged as any other; rows with equal doc_id are judged one by one; empty tables give empty (or all
 clean) results; other columns of either table are not looked at.
 """
 
@@ -32,6 +33,12 @@ WINDOW = 10
 #: Text of the benchmark that one broadcast holds at most.
 BLOCK_BYTES = 32_000_000
 BITS = 22
+
+
+def _by_name(item: str | None) -> tuple[bool, str]:
+    return item is not None, item or ""
+
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,9 +49,9 @@ def words_of(text: bytes) -> list[bytes]:
 class WindowSet:
     """The windows of one block of benchmark items, by word count."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+        found: dict[int, dict[tuple[bytes, ...], set[str | None]]] = {}
         for item, text in items:
             words = words_of(text)
             for word in words:
@@ -52,7 +59,7 @@ class WindowSet:
             n = min(window, len(words))
             for at in range(len(words) - n + 1 if n else 0):
                 found.setdefault(n, {}).setdefault(tuple(words[at : at + n]), set()).add(item)
-        self.by_length = {n: {k: tuple(sorted(v)) for k, v in windows.items()} for n, windows in found.items()}
+        self.by_length = {n: {k: tuple(sorted(v, key=_by_name)) for k, v in windows.items()} for n, windows in found.items()}
         self.code = np.random.default_rng(7).integers(1, 2**63, len(self.vocabulary) + 1, dtype=np.uint64)
         self.bitmaps = {}
         for n, windows in self.by_length.items():
@@ -115,7 +122,7 @@ def _window_set(shared) -> WindowSet:
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
     """The benchmark's items as broadcasts, each of a checked size."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-2 * total // block_bytes) if total > block_bytes else 1)
     out = []
@@ -144,7 +151,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
                 for (n, own, names), (old, old_names) in zip(found.scan(text_bytes(batch["text"])), before, strict=True):
                     n_words.append(n)
                     runs.append([{"start": a, "stop": b} for a, b in merged(own + [(r["start"], r["stop"]) for r in old])])
-                    items.append(sorted(names.union(old_names)))
+                    items.append(sorted(names.union(old_names), key=_by_name))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "runs", "items"])
 
         out = out.mapInArrow(scan, _SCANNED)
@@ -214,7 +221,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
 def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
     """The rows of report(), by comparing every window with every position (tests)."""
-    items = [(str(i), words_of((t or "").encode())) for i, t in benchmark]
+    items = [(None if i is None else str(i), words_of((t or "").encode())) for i, t in benchmark]
     out = []
     for doc_id, text in docs:
         words, hit, names = words_of((text or "").encode()), set(), set()
@@ -225,5 +232,5 @@ def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int, s
                     if words[p : p + n] == own[a : a + n]:
                         hit.update(range(p, p + n))
                         names.add(item)
-        out.append((doc_id, len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+        out.append((doc_id, len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), bool(hit)))
     return out

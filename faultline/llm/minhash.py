@@ -20,6 +20,8 @@ it shares. So no task gets an unbounded bucket, and no pair is left out for the
 
 Defined cases: null texts and texts without words have the empty set (n_shingles 0), link with nothing and are
 kept; rows with equal doc_id and equal text fall in one class; empty tables give no rows; other columns are not read.
+near_duplicates() labels a row without doc_id with its class's id, or null, and leaves kept null. deduplicate() needs no
+ids: it keeps one row of each group, repeated rows and rows without doc_id (which come last in the order) included.
 """
 
 from __future__ import annotations
@@ -319,9 +321,19 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, percent: in
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents of which each group keeps one, with all columns."""
-    kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """The documents of which each group keeps one, with all columns.
+
+    Where ids are null or repeat, the place in the order of doc_id stands for them; the order of unique ids is the same.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if ids.isEmpty():
+        kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("kept_id"))
+        return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    place, row = "_place", "_row"
+    ordered = docs.withColumn(row, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), row).drop(row)
+    placed = materialise(ordered.withColumn(place, F.monotonically_increasing_id()), "placed")
+    kept = near_duplicates(placed.select(F.col(place).alias("doc_id"), "text"), percent=percent).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return placed.join(kept, F.col(place) == F.col("kept_id"), "left_semi").drop(place)
 
 
 def brute_force(docs: list[tuple[int, str | None]], percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:

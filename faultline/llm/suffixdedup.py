@@ -22,7 +22,8 @@ Inserting one symbol for each whole document each round would take as many seque
 longest document has bytes; over contexts it takes 168 at most, within each task.
 
 Defined cases: null texts are empty; texts under LENGTH bytes lose nothing; rows with equal doc_id are one document
-if their texts are equal, too; an empty table gives no rows; other columns are not read.
+if their texts are equal, too; a document without doc_id has no place in the order, so it loses nothing and takes
+nothing from others; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

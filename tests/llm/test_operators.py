@@ -71,6 +71,31 @@ def test_near_duplicates_between_80_and_85_percent(spark):
     assert minhash.agree(85) == 0.65 and minhash.agree(80) == 0.55 and minhash.splits(85) == 2 and minhash.splits(80) == 1
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    """One row of each group stays, whatever its id; items without id are found; op6 leaves such documents alone."""
+    rng = random.Random(21)
+    texts = {k: words(rng, 120) for k in "abcdef"}
+    near = " ".join([*texts["c"].split()[:-1], "edited"])
+    data = [(None, texts["a"]), (5, texts["b"]), (5, texts["b"]), (None, texts["c"]), (7, near), (None, texts["d"]), (None, texts["d"]), (9, texts["e"]), (9, texts["f"]), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], DOC).repartition(3)
+    got = minhash.deduplicate(df)
+    assert got.columns == df.columns
+    want = [(None, texts["a"]), (5, texts["b"]), (7, near), (None, texts["d"]), (9, texts["e"]), (9, texts["f"]), (None, None), (None, "")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+    items = [(None, texts["a"][:200]), (3, texts["a"][:200]), (None, texts["b"][:200]), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    own = df.where("doc_id is null or doc_id <> 9")
+    report = decontaminate.report(decontaminate.find_windows(own, bench))
+    assert sorted(map(repr, map(tuple, report.collect()))) == sorted(map(repr, decontaminate.brute_force([(r.doc_id, r.text) for r in own.collect()], items)))
+    assert [r.n_items for r in report.where("doc_id = 5").collect()] == [1, 1]
+    left = decontaminate.decontaminate(own, bench)
+    assert {r.text for r in left.collect()} == {t for _, t in data} - {texts[k] for k in "abef"}
+
+    clean = suffixdedup.deduplicate(df.where("doc_id is null or doc_id = 7")).collect()
+    assert len(clean) == 7 and all(r.n_removed == 0 for r in clean)
+
+
 def test_fine_sketch_loses_no_similar_pair():
     rng = np.random.default_rng(3)
     for n in (1, 7, 40, 300, 2000, 20000):
