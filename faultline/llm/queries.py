@@ -42,7 +42,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixdedup.deduplicate(table(spark, sf_dir, "documents"), kept=False)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,19 +113,50 @@ def test_fine_sketch_loses_no_similar_pair():
         assert all(kept)
 
 
-def test_substring_dedup_equals_brute_force(docs, texts):
-    assert rows(suffixdedup.deduplicate(docs).drop("kept")) == suffixdedup.brute_force(texts)
-
-
-def test_collection_is_the_suffix_order():
+def test_substring_dedup_equals_brute_force(spark, docs, texts):
+    want = suffixdedup.brute_force(texts)
+    assert rows(suffixdedup.deduplicate(docs).drop("kept")) == want
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert rows(suffixdedup.deduplicate(table, kept=False)) == suffixdedup.brute_force([(r.doc_id, r.text) for r in table.collect()])
+    for hot, strings in ((3, 5), (1, 2)):  # anchors dealt by windows, collections of a few strings
+        assert rows(suffixdedup.deduplicate(docs, kept=False, hot=hot, strings=strings)) == want
+
+
+def test_substring_dedup_of_equal_ids(spark):
+    """Rows of one doc_id lose bytes of their own only; equal rows are one document; what is left is what stays."""
+    rng = random.Random(31)
+    x, a, b = (words(rng, 60)[:300] for _ in "xab")
+    data = [(1, x), (2, a + x), (2, b), (3, x), (3, x), (4, a), (4, a + "!")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = suffixdedup.deduplicate(df).collect()
+    assert sorted(tuple(r)[:5] for r in got) == suffixdedup.brute_force(data)
+    assert (2, 300, 0, 0) in [tuple(r)[:4] for r in got] and {bytes(r.kept) for r in got if r.doc_id == 2} == {a.encode(), b.encode()}
+
+
+def test_substring_dedup_reads_long_texts_in_parts(spark, monkeypatch):
+    rng = random.Random(32)
+    long = words(rng, 700)
+    data = [(1, long), (2, words(rng, 5) + long[900:2500]), (3, None), (4, long[-150:]), (5, "é" * 400)]
+    parts = suffixdedup.contexts_of
+    monkeypatch.setattr(suffixdedup, "SLICE_BYTES", 1000)
+    data_bytes = np.frombuffer(long.encode(), np.uint8)
+    found = parts(data_bytes, np.array([0, len(data_bytes)]), np.array([True]))
+    covered = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(found["lo"], found["n"], strict=True)])
+    assert sorted(covered.tolist()) == list(range(len(data_bytes) - suffixdedup.LENGTH + 1))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(suffixdedup.deduplicate(df, kept=False)) == suffixdedup.brute_force(data)
+
+
+def test_collection_is_the_suffix_order(tmp_path):
     rng = random.Random(8)
     for _ in range(60):
         strings = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 30))).encode() for _ in range(rng.randint(2, 12))]
-        string, length, prefix = suffixdedup.Collection(strings).rows()
+        string, length, prefix = suffixdedup.Collection(strings, f"file://{tmp_path}", block=rng.choice([3, 7, 50, 1 << 20])).rows()
         got = [strings[s][len(strings[s]) - k :] for s, k in zip(string.tolist(), length.tolist(), strict=True)]
         assert got == sorted(got)
         for a, b, p in zip(got, got[1:], prefix[1:].tolist(), strict=False):
             assert p == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert not list(tmp_path.iterdir())
 
 
 def test_decontamination_equals_brute_force(spark, docs, texts):
