@@ -306,7 +306,42 @@ def test_html_keeps_common_phrases_of_main_text(spark):
     for blocks in (["a b", "c d e f g h", "i"], ["a"] * 9, ["a"] * 3, []):
         sizes = [len(b.split()) for b in blocks]
         stops = [(i, next((j for j in range(i + 1, len(blocks) + 1) if sum(sizes[i:j]) >= 8), None)) for i in range(len(blocks))]
-        assert [u[:2] for u in htmltext._units(blocks)] == [x for x in stops if x[1]]
+        assert [u[:2] for u in htmltext._units(blocks, [True] * len(blocks))] == [x for x in stops if x[1]]
+        assert htmltext._units(blocks, [False] * len(blocks)) == []
+
+
+def test_html_structure():
+    of = lambda page: [t for z, t in htmltext.blocks(page) if z == "article"]
+    assert of("<article>one <img src=x> two<input>three <br/>four<hr>five</article>") == ["one twothree four", "five"]
+    assert of('<div class="layout no-sidebar"><article>body</article></div>') == ["body"]
+    assert of('<div class="sidebar"><p>x</p><main class="related-reading-off">body <div class="share">s</div></main><p>y</p></div>') == ["body"]
+    assert of('<article>a<div id="comments"><article class="comment">b</article></div>c</article>') == ["a", "c"]
+    assert of("<article>a<p>b</article>") == ["a", "b"] and of("<nav><article>a</article></nav>") == []
+
+
+def test_html_equals_brute_force(spark):
+    """Random hosts: pages with and without article, shared long runs, menus, copies, nulls and a very long page."""
+    rng = random.Random(12)
+    passages = [" ".join(f"p{i}t{k}" for k in range(45)) for i in range(4)]
+    menus = ["".join(f"<li>{m}{k}</li>" for k in range(5)) for m in ("home", "about")]
+    pages = [(900, None, None), (901, "http://a.org/", ""), (None, "http://a.org/x", "<p>no id"), (902, "http://a.org/long", "<article>" + "<p>".join(words(rng, 300) for _ in range(60)) + "</article>")]
+    for k in range(70):
+        body = [f"<p>{words(rng, rng.randint(1, 50))}</p>" for _ in range(3)]
+        for p in passages:
+            if rng.random() < (0.7 if p is passages[0] else 0.15):
+                body.insert(rng.randrange(4), f"<p>{words(rng, 3)} {p} {words(rng, 3)}</p>")
+        menu = f"<ul>{rng.choice(menus)}</ul>"
+        main = "".join(body)
+        page = f"{menu}<article>{main}</article>" if k % 3 else f"{menu}{main}"
+        pages.append((k, f"http://{'abc'[k % 2 if k < 60 else 2]}.org/{k}", page))
+        if k % 9 == 0:
+            pages.append((k, f"http://a.org/copy{k}", page))
+    want = sorted(htmltext.brute_force(pages), key=repr)
+    cut = {i: t for i, t in want}
+    assert any(k % 3 and "p0t7" in pages_of and "p0t7" not in cut[k] for k, _, pages_of in pages if k is not None and k < 60)
+    df = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, host int, content string")
+    for chunk in (400, 9):
+        assert sorted(((r.page_id, r.text) for r in htmltext.extract(df, chunk=chunk).collect()), key=repr) == want
 
 
 def test_toxicity_learns_held_out(spark):
