@@ -4,8 +4,10 @@ Words are the maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z
 ten consecutive words of a benchmark item; an item of fewer words, but not none, is one window. A rolling hash of
 word ids finds candidate windows in a bitmap; each candidate is then compared with the window's own words.
 
-The benchmark is broadcast in blocks of at most ``block_bytes`` of text. One block is usual; if there are more, the
-documents pass through one scan for each block and the hits add up, so nothing that is broadcast grows without bound.
+The benchmark is broadcast in blocks of at most ``block_bytes`` of text (an item is never cut). A worker turns a block
+into arrays: word ids, and for each distinct window its hash, its first place and its items, about 30 bytes a window.
+Documents are read in chunks of CHUNK_BYTES; each chunk meets the blocks one after another. Sets of up to KEPT_BYTES are
+kept for the next chunk, others are built anew, so memory depends on none of the tables' sizes.
 
 Defined cases: null and empty texts have no words and are clean; an item without words has no window; equal items
 count once for each distinct item_id; items without item_id count as one item, which items_sha256 does not name (as in
@@ -18,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +34,10 @@ from .common import slices, text_bytes
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 #: Text of the benchmark that one broadcast holds at most.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 4_000_000
+#: Text of documents that meets all blocks at once, and bytes of window sets that a worker keeps.
+CHUNK_BYTES = 16_000_000
+KEPT_BYTES = 150_000_000
 BITS = 22
 
 
@@ -46,37 +52,90 @@ def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
+class Windows:
+    """The distinct windows of n words: sorted hashes, the place of one of each, and the items of each."""
+
+    def __init__(self, n: int, starts: np.ndarray, owner: np.ndarray, ids: np.ndarray, hashes: np.ndarray):
+        def same_words(order: np.ndarray) -> np.ndarray:
+            a, b = starts[order[1:]], starts[order[:-1]]
+            return np.all([ids[a + j] == ids[b + j] for j in range(n)], axis=0)
+
+        order = np.lexsort((owner, hashes))
+        new = np.append(True, ~same_words(order))
+        if np.any(new[1:] & (hashes[order[1:]] == hashes[order[:-1]])):  # different windows share a hash
+            order = np.lexsort((owner, *(ids[starts + j] for j in range(n)), hashes))
+            new = np.append(True, ~same_words(order))
+        self.n, self.first, self.hashes = n, starts[order][new], hashes[order][new]
+        self.most = int(np.unique(self.hashes, return_counts=True)[1].max())
+        group = np.cumsum(new) - 1
+        owner = owner[order]
+        once = np.append(True, (group[1:] != group[:-1]) | (owner[1:] != owner[:-1]))
+        self.items = owner[once].astype(np.int32)
+        self.bounds = np.searchsorted(group[once], np.arange(len(self.first) + 1))
+        self.bitmap = np.zeros(1 << BITS, dtype=bool)
+        self.bitmap[self.hashes >> np.uint64(64 - BITS)] = True
+
+    def nbytes(self) -> int:
+        return self.first.nbytes + self.hashes.nbytes + self.items.nbytes + self.bounds.nbytes + self.bitmap.nbytes
+
+    def hits(self, codes: np.ndarray, stream: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a stream of word ids where a window stands, and which one; compared word by word."""
+        if len(codes) < self.n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        h = rolled(codes, self.n)
+        at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - BITS)])
+        left = np.searchsorted(self.hashes, h[at])
+        out = []
+        for d in range(self.most):
+            g = left + d
+            ok = g < len(self.hashes)
+            p, g = at[ok], g[ok]
+            ok = self.hashes[g] == h[p]
+            p, g = p[ok], g[ok]
+            for j in range(self.n):
+                ok = stream[p + j] == ids[self.first[g] + j]
+                p, g = p[ok], g[ok]
+            out.append((p, g))
+        return np.concatenate([p for p, _ in out]), np.concatenate([g for _, g in out])
+
+
+def rolled(codes: np.ndarray, n: int) -> np.ndarray:
+    out = codes[: len(codes) - n + 1].copy()
+    for j in range(1, n):
+        out *= _MULTIPLIER
+        out += codes[j : len(codes) - n + 1 + j]
+    return out * _MULTIPLIER
+
+
 class WindowSet:
     """The windows of one block of benchmark items, by word count."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[bytes, ...], set[str | None]]] = {}
-        for item, text in items:
-            words = words_of(text)
-            for word in words:
-                self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
-            n = min(window, len(words))
-            for at in range(len(words) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(words[at : at + n]), set()).add(item)
-        self.by_length = {n: {k: tuple(sorted(v, key=_by_name)) for k, v in windows.items()} for n, windows in found.items()}
+        self.names = [item for item, _ in items]
+        parts, sizes = [], []
+        for _, text in items:
+            own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype=np.int32)
+            parts.append(own)
+            sizes.append(len(own))
+        self.ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
         self.code = np.random.default_rng(7).integers(1, 2**63, len(self.vocabulary) + 1, dtype=np.uint64)
-        self.bitmaps = {}
-        for n, windows in self.by_length.items():
-            bitmap = np.zeros(1 << BITS, dtype=bool)
-            ids = np.array([self.vocabulary[w] for key in windows for w in key], dtype=np.int64)
-            bitmap[self._rolled(self.code[ids], n)[::n] >> np.uint64(64 - BITS)] = True
-            self.bitmaps[n] = bitmap
-
-    @staticmethod
-    def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
-        out = codes[: len(codes) - n + 1].copy()
-        for j in range(1, n):
-            out *= _MULTIPLIER
-            out += codes[j : len(codes) - n + 1 + j]
-        return out * _MULTIPLIER
-
-    def scan(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+        size = np.array(sizes, dtype=np.int64)
+        begin = np.cumsum(size) - size
+        lengths = np.minimum(size, window)
+        codes = self.code[self.ids]
+        self.windows = []
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            of = np.flatnonzero(lengths == n)
+            count = size[of] - n + 1
+            owner = np.repeat(of, count)
+            starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[owner]
+            self.windows.append(Windows(n, starts, owner, self.ids, rolled(codes, n)[starts]))
+
+    def nbytes(self) -> int:
+        return self.ids.nbytes + self.code.nbytes + 120 * len(self.vocabulary) + sum(w.nbytes() for w in self.windows)
+
+    def scan(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str | None]]]:
         """For each text: its word count, the maximal hit runs [start, end) of words, and the items found."""
         docs = [words_of(t) if t else [] for t in texts]
         stream: list[bytes] = []
@@ -85,77 +144,93 @@ class WindowSet:
             starts.append(len(stream))
             stream += words
             stream.append(b"\x00")  # no word: windows never cross documents
-        codes = self.code[np.fromiter(map(self.vocabulary.get, stream, repeat(0)), dtype=np.int64, count=len(stream))]
-        hits: list[tuple[int, int]] = []
-        for n, bitmap in self.bitmaps.items():
-            if len(codes) >= n:
-                hits += ((int(p), n) for p in np.flatnonzero(bitmap[self._rolled(codes, n) >> np.uint64(64 - BITS)]))
-        by_doc: dict[int, list] = {}
-        owner = np.searchsorted(starts, [p for p, _ in hits], side="right") - 1
-        for (p, n), doc in zip(hits, owner.tolist(), strict=True):
-            if found := self.by_length[n].get(tuple(stream[p : p + n])):
-                by_doc.setdefault(doc, []).append((p - starts[doc], n, found))
-        for doc, words in enumerate(docs):
-            runs: list[list[int]] = []
-            names: set[str] = set()
-            for p, n, found in sorted(by_doc.get(doc, ())):
-                names.update(found)
-                if runs and p <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], p + n)
-                else:
-                    runs.append([p, p + n])
-            yield len(words), [(a, b) for a, b in runs], names
-
-
-_sets: dict[str, WindowSet] = {}
+        ids = np.fromiter(map(self.vocabulary.get, stream, repeat(0)), dtype=np.int32, count=len(stream))
+        codes = self.code[ids]
+        runs: list[list[tuple[int, int]]] = [[] for _ in docs]
+        names: list[set[str | None]] = [set() for _ in docs]
+        for own in self.windows:
+            p, g = own.hits(codes, ids, self.ids)
+            doc = np.searchsorted(starts, p, side="right") - 1
+            for at, k in zip(p.tolist(), doc.tolist(), strict=True):
+                runs[k].append((at - starts[k], at - starts[k] + own.n))
+            for k, window in set(zip(doc.tolist(), g.tolist(), strict=True)):
+                names[k].update(self.names[i] for i in own.items[own.bounds[window] : own.bounds[window + 1]].tolist())
+        for words, own_runs, own_names in zip(docs, runs, names, strict=True):
+            yield len(words), merged(own_runs), own_names
+
+
+_sets: OrderedDict[str, WindowSet] = OrderedDict()
 
 
 def _window_set(shared) -> WindowSet:
-    """Built once for each Python worker; a few are kept."""
-    if shared.value[0] not in _sets:
-        if len(_sets) >= 4:
-            _sets.clear()
-        _sets[shared.value[0]] = WindowSet(shared.value[1], shared.value[2])
-    return _sets[shared.value[0]]
+    """Built in each Python worker; sets of KEPT_BYTES together (one at least) are kept."""
+    name = shared.value[0]
+    if name not in _sets:
+        _sets[name] = WindowSet(shared.value[1], shared.value[2])
+        while len(_sets) > 1 and sum(s.nbytes() for s in _sets.values()) > KEPT_BYTES:
+            _sets.popitem(last=False)
+    return _sets[name]
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
-    """The benchmark's items as broadcasts, each of a checked size."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
-    n_blocks = max(1, -(-2 * total // block_bytes) if total > block_bytes else 1)
-    out = []
-    for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("text", "item"), F.lit(n_blocks)) == k)
-        rows = [(r["item"], r["text"].encode()) for r in block.collect()]
-        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, rows, window)))
+    """The benchmark's items as broadcasts, each of a checked size; the driver holds one block at a time."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    out, rows, size = [], [], 0
+    for r in items.toLocalIterator():
+        text = r["text"].encode()
+        if rows and size + len(text) + 64 > block_bytes:
+            out.append(context.broadcast((uuid.uuid4().hex, rows, window)))
+            rows, size = [], 0
+        rows.append((r["item"], text))
+        size += len(text) + 64
+    if rows:
+        out.append(context.broadcast((uuid.uuid4().hex, rows, window)))
     return out
 
 
+Found = list[tuple[int, list[tuple[int, int]], set[str | None]]]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], blocks: list, answer: Callable[[pa.RecordBatch, list[bytes | None], Found], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents against all blocks; ``answer`` gets slices with their texts and what was found in each."""
+    held: list[tuple[pa.RecordBatch, list[bytes | None]]] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        found: list[Found] = [[(len(words_of(t)) if t else 0, [], set()) for t in texts] for _, texts in held] if not blocks else [[] for _ in held]
+        for shared in blocks:
+            own = _window_set(shared)
+            for k, (_, texts) in enumerate(held):
+                new = list(own.scan(texts))
+                found[k] = new if not found[k] else [(n, merged(a + b) if b else a, x | y) for (n, a, x), (_, b, y) in zip(found[k], new, strict=True)]
+        for (batch, texts), own_found in zip(held, found, strict=True):
+            yield answer(batch, texts, own_found)
+
+    for batch in slices(batches):
+        texts = text_bytes(batch["text"])
+        held.append((batch, texts))
+        size += sum(len(t) for t in texts if t)
+        if size >= (CHUNK_BYTES if len(blocks) > 1 else 0):
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
+
+
 _SCANNED = "doc_id long, text string, n_words long, runs array<struct<start:long,stop:long>>, items array<string>"
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, text, n_words, the hit runs of words and the items found."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
-        "doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("items")
-    )
-    for shared in benchmark_blocks(benchmark, window, block_bytes):
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found = _window_set(shared)
-            for batch in slices(batches):
-                n_words, runs, items = [], [], []
-                before = zip(batch["runs"].to_pylist(), batch["items"].to_pylist(), strict=True)
-                for (n, own, names), (old, old_names) in zip(found.scan(text_bytes(batch["text"])), before, strict=True):
-                    n_words.append(n)
-                    runs.append([{"start": a, "stop": b} for a, b in merged(own + [(r["start"], r["stop"]) for r in old])])
-                    items.append(sorted(names.union(old_names), key=_by_name))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "runs", "items"])
-
-        out = out.mapInArrow(scan, _SCANNED)
-    return out
+    blocks = benchmark_blocks(benchmark, window, block_bytes)
+
+    def answer(batch: pa.RecordBatch, texts: list[bytes | None], found: Found) -> pa.RecordBatch:
+        runs = [[{"start": a, "stop": b} for a, b in own] for _, own, _ in found]
+        items = [sorted(names, key=_by_name) for _, _, names in found]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array([n for n, _, _ in found], pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "runs", "items"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: _scanned(batches, blocks, answer), _SCANNED)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -200,23 +275,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     columns = docs.columns
     blocks = benchmark_blocks(benchmark, window)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            raw = text_bytes(batch["text"])
-            runs: list[list[tuple[int, int]]] = [[] for _ in raw]
-            for shared in blocks:
-                for k, (_, own, _) in enumerate(_window_set(shared).scan(raw)):
-                    runs[k] += own
-            if remove == "documents":
-                yield batch.filter(pa.array([not r for r in runs], pa.bool_()))
-                continue
-            texts = [without_spans(None if t is None else t.decode(), merged(r)) for t, r in zip(raw, runs, strict=True)]
-            arrays = {name: batch[name] for name in columns} | {"text": pa.array(texts, batch["text"].type)}
-            if "n_chars" in arrays:
-                arrays["n_chars"] = pa.array([n if not r else len(t or "") for n, r, t in zip(batch["n_chars"].to_pylist(), runs, texts, strict=True)], batch["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([arrays[name] for name in columns], names=columns)
-
-    return docs.mapInArrow(scan, docs.schema)
+    def answer(batch: pa.RecordBatch, texts: list[bytes | None], found: Found) -> pa.RecordBatch:
+        if remove == "documents":
+            return batch.filter(pa.array([not own for _, own, _ in found], pa.bool_()))
+        left = [without_spans(None if t is None else t.decode(), own) for t, (_, own, _) in zip(texts, found, strict=True)]
+        arrays = {name: batch[name] for name in columns} | {"text": pa.array(left, batch["text"].type)}
+        if "n_chars" in arrays:
+            arrays["n_chars"] = pa.array([n if not own else len(t or "") for n, (_, own, _), t in zip(batch["n_chars"].to_pylist(), found, left, strict=True)], batch["n_chars"].type)
+        return pa.RecordBatch.from_arrays([arrays[name] for name in columns], names=columns)
+
+    return docs.mapInArrow(lambda batches: _scanned(batches, blocks, answer), docs.schema)
 
 
 def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:

@@ -6,37 +6,40 @@ HTTP header and the payload; a revisit's block is the HTTP header alone, whose C
 WARC-Payload-Digest are those of the full payload.
 
 Of pages with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the largest page_id is the response and
-the others revisit it. Digests, counts and maxima are DataFrame work, so a group of copies is never in one task;
-archives roll over at ``ARCHIVE_BYTES``, so that a reader's memory is bounded. A retried task writes the same bytes
-under another name first and then renames.
+the others revisit it. Digests, counts and maxima are aggregated before they are shuffled, and the join that tells each
+page its response is salted by page into ``SALTS`` parts, so a group of copies is never in one task. Archives roll over
+at ``ARCHIVE_BYTES``, so that a reader's memory is bounded. Each attempt of a task writes under names of its own and
+returns them with their numbers of records; the list that Spark commits holds the successful attempts only, the reader
+reads what it names and compares the numbers. So what a lost attempt has left behind is never read.
 
 The dictionary is trained on the driver from a bounded sample (``SAMPLE`` pages by a hash of page_id, at most
 ``SAMPLE_BYTES`` each); where that is impossible (few or tiny pages) the archives have no dictionary frame.
 
 Defined cases: null html is an empty payload; a null url or page_id has no header and comes back null; rows that
-repeat the largest page_id of a group are responses as well; an empty table writes no archive and reads as no rows.
+repeat the largest page_id of a group are responses as well; other columns are not read, whatever their names; an empty
+table writes no archive and reads as no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, workspace
+from .common import materialise, slices, text_bytes, workspace
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 8_000_000
 DICTIONARY_BYTES = 65_536
 SAMPLE, SAMPLE_BYTES = 400, 20_000
+SALTS = 32
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -202,70 +205,75 @@ def with_roles(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     key = (F.sha1("html"), F.xxhash64("html"), F.octet_length("html"))
     names = ("k_sha1", "k_hash", "k_bytes")
     repeated = rows.where(key[2] >= least).select("page_id", *(k.alias(n) for k, n in zip(key, names, strict=True))).groupBy(*names).agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    own = rows.select("*", *(k.alias(f"o_{n}") for k, n in zip(key, names, strict=True)))
-    joined = own.join(repeated, [F.col(f"o_{n}") == F.col(n) for n in names], "left")
+    salted = repeated.withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    own = rows.select("*", *(k.alias(f"o_{n}") for k, n in zip(key, names, strict=True)), salt.alias("o_k_salt"))
+    joined = own.join(salted, [F.col(f"o_{n}") == F.col(n) for n in (*names, "k_salt")], "left")
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
 
 
-def write_archives(rows: DataFrame, folder: str, dictionary: bytes | None, archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """Write page_id, url, html, refers_to as archives into a shared folder; the number of records."""
+def write_archives(rows: DataFrame, folder: str, dictionary: bytes | None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write page_id, url, html, refers_to as archives into a shared folder; their names and numbers of records."""
     shared = rows.sparkSession.sparkContext.broadcast(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        writer, names, counts = ArchiveWriter(shared.value), [], []
+        writer, attempt, n = ArchiveWriter(shared.value), uuid.uuid4().hex, 0
 
-        def close() -> None:
-            name = f"{path}/part-{task.partitionId():06d}-{len(names):04d}.warc.zst"
-            counts.append(writer.records)
-            own = f"{path}/_{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(own) as out:
+        def close() -> pa.RecordBatch:
+            nonlocal n
+            name, records = f"part-{attempt}-{n:04d}.warc.zst", writer.records
+            with store.open_output_stream(f"{path}/{name}") as out:
                 out.write(writer.take())
-            store.move(own, name)
-            names.append(name)
+            n += 1
+            return pa.RecordBatch.from_pydict({"name": [name], "records": [records]})
 
         for batch in slices(batches, 64):
             for page_id, url, html, refers_to in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), text_bytes(batch["html"]), batch["refers_to"].to_pylist(), strict=True):
                 writer.add(warc_record(page_id, url, html, refers_to))
                 if writer.size >= archive_bytes:
-                    close()
+                    yield close()
         if writer.records:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["name", "records"])
+            yield close()
 
-    return rows.mapInArrow(write, "name string, records long").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
+    return materialise(rows.mapInArrow(write, "name string, records long"), "archives")
 
 
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
-def read_archives(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
-    """One row a record of the folder's archives; payload=True adds the responses' payload."""
+def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> DataFrame:
+    """One row a record of the folder's archives that are named (name, records); payload=True adds the payload.
+
+    An archive whose number of records is not the given one is invalid; a null number is not compared.
+    """
     schema = _RECORD + (", payload binary" if payload else "")
     kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if payload else {})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            rows: list[dict] = []
-            for record in read_archive(batch["content"][0].as_py()):
-                rows.append(record)
-                if len(rows) == 512:
-                    yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], t) for n, t in kinds.items()})
-                    rows = []
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], t) for n, t in kinds.items()})
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content").mapInArrow(read, schema)
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, expected in zip(batch["name"].to_pylist(), batch["records"].to_pylist(), strict=True):
+                with store.open_input_stream(f"{path}/{name}") as source:
+                    raw = source.read()
+                rows: list[dict] = []
+                found = 0
+                for record in read_archive(raw):
+                    rows.append(record)
+                    found += 1
+                    if len(rows) == 512:
+                        yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], t) for n, t in kinds.items()})
+                        rows = []
+                if expected is not None and found != expected:
+                    raise InvalidRecord(f"{name} has {found} records, not {expected}")
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in rows], t) for n, t in kinds.items()})
+
+    tasks = min(20_000, max(1, archives.count()))
+    return archives.select("name", F.col("records").cast("long").alias("records")).repartition(tasks).mapInArrow(read, schema)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder and read the archives back."""
-    spark = pages.sparkSession
-    folder = workspace(spark, "warc")
-    n = write_archives(with_roles(pages), folder, train_dictionary(pages))
-    if not n:
-        return spark.createDataFrame([], _RECORD)
-    return read_archives(spark, folder)
+    folder = workspace(pages.sparkSession, "warc")
+    return read_archives(write_archives(with_roles(pages), folder, train_dictionary(pages)), folder)

@@ -170,6 +170,31 @@ def test_decontamination_equals_brute_force(spark, docs, texts):
     assert cut.columns == docs.columns and not any(r.contaminated for r in decontaminate.report(decontaminate.find_windows(cut.where("doc_id <> 3"), bench.where("item_id = 2"))).collect())
 
 
+def test_windows_of_a_large_benchmark_need_little_memory():
+    """4 MB of benchmark text, one block, within 60 MB; so a 32 MB benchmark needs 150 MB of kept sets at most."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    vocab = np.array([f"w{k}" for k in range(60_000)])
+    items = [(str(k), " ".join(vocab[rng.integers(0, len(vocab), 400)]).encode()) for k in range(1500)]
+    total = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    own = decontaminate.WindowSet(items)
+    size, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 15 * total + 12_000_000 and peak < 45 * total + 12_000_000, (size, peak, total)
+    words_of = items[7][1].split()
+    (n, runs, names), (_, none, _) = own.scan([b"x " + b" ".join(words_of[50:65]) + b" y", b" ".join(words_of[50:59])])
+    assert (n, runs, names) == (17, [(1, 16)], {"7"}) and none == []
+
+
+def test_windows_with_equal_hashes_stay_apart(monkeypatch):
+    """Even if all hashes agree, words decide."""
+    monkeypatch.setattr(decontaminate, "rolled", lambda codes, n: np.zeros(len(codes) - n + 1, dtype=np.uint64))
+    own = decontaminate.WindowSet([("a", b"one two"), ("b", b"three four"), ("c", b"one two")])
+    assert [(r, n) for _, r, n in own.scan([b"x one two", b"three four one", b"two one"])] == [([(1, 3)], {"a", "c"}), ([(0, 2)], {"b"}), ([], set())]
+
+
 def test_pii_equals_patterns():
     rng = random.Random(6)
     for _ in range(4000):
@@ -270,6 +295,34 @@ def test_warc_round_trip_and_validation(spark):
         list(warc.read_archive(raw[:-3]))
 
 
+def test_warc_spreads_copies_and_ignores_lost_attempts(spark):
+    """50,000 copies of a page: no task gets them all; archives of a lost attempt are not read; a cut archive fails."""
+    from faultline.llm.common import workspace
+
+    page = "<p>" + "y" * 1200
+    pages = spark.range(50_000).selectExpr("id as page_id", "'http://h/' || id as url", f"'{page}' as html", "1 as k_salt", "2 as largest")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        roles = warc.with_roles(pages)
+        sizes = [r["count"] for r in roles.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 20_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roles.where("refers_to = 49999").count() == 49_999
+    few = warc.with_roles(pages.where("page_id < 300"))
+    folder = workspace(spark, "warc")
+    warc.write_archives(few, folder, None)  # an attempt that Spark gave up
+    archives = warc.write_archives(few, folder, None, archive_bytes=4000)
+    got = warc.read_archives(archives, folder, payload=True).collect()
+    assert len(got) == 300 == archives.agg(F.sum("records")).first()[0] and archives.count() > 2
+    assert [r.page_id for r in got if r.record_type == "response"] == [299] and [bytes(r.payload) for r in got if r.payload] == [page.encode()]
+    with pytest.raises(Exception, match="records, not"):
+        warc.read_archives(archives.withColumn("records", F.col("records") + 1), folder).collect()
+
+
 def test_html(spark):
     page = "<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p>One  <b>two</b><br><p>three<script>x</script></article><footer>F</footer></body>"
     assert htmltext.blocks(page)[-4:-1] == [("article", "Head & line"), ("article", "One two"), ("article", "three")]
