@@ -203,16 +203,14 @@ class Collection:
             for b, p in files.blocks():
                 n = len(b)
                 order = np.argsort(b, kind="stable")
-                heads = np.searchsorted(b[order], np.arange(257))
+                heads = np.append(0, np.cumsum(np.bincount(b, minlength=256)))
                 some = np.flatnonzero(heads[1:] > heads[:-1])
                 first, last = order[heads[some]], order[heads[some + 1] - 1]
-                place = np.empty(n, np.int64)
-                place[order] = np.arange(n)
+                place = np.empty(n, np.int32)
+                place[order] = np.arange(n, dtype=np.int32)
                 own = slice(*np.searchsorted(newest, (at, at + n)))
                 rows = newest[own] - at
-                which = np.full(n, -1, np.int64)
-                which[rows] = np.arange(own.start, own.stop)
-                a, j = b[rows].astype(np.int64), place[rows]
+                a, j = b[rows].astype(np.int64), place[rows].astype(np.int64)
                 symbol[own], rank[own] = b[rows], count[a] + j - heads[a]
                 # Ranges (previous, this] of equal symbols that begin or end at a newest row.
                 table = [p]
@@ -225,13 +223,14 @@ class Collection:
                 after[own][inner] = _lowest(table, rows[inner] + 1, order[j[inner] + 1])
                 # Ranges that come from the blocks before: each symbol's first occurrence here.
                 seen = low[some] >= 0
-                here = np.minimum(low[some], np.minimum.accumulate(p)[first])
-                w, v = which[first], last_new[some]
+                here = np.minimum(low[some], _lowest(table, np.zeros(len(first), np.int64), first))
+                w, v = _among(newest[own], first + at, own.start), last_new[some]
                 before[w[seen & (w >= 0)]] = here[seen & (w >= 0)]
                 after[v[seen & (v >= 0)]] = here[seen & (v >= 0)]
-                low = np.where(low >= 0, np.minimum(low, p.min()), low)
-                tail = np.append(np.minimum.accumulate(p[::-1])[::-1], 0xFF).astype(np.int16)
-                low[some], last_new[some] = tail[last + 1], which[last]
+                low = np.where(low >= 0, np.minimum(low, table[0].min()), low)
+                low[some], last_new[some] = 0xFF, _among(newest[own], last + at, own.start)
+                inner = last + 1 < n
+                low[some[inner]] = _lowest(table, last[inner] + 1, np.full(inner.sum(), n - 1))
                 count += heads[1:] - heads[:-1]
                 at += n
         base = self.m + np.cumsum(count) - count
@@ -319,6 +318,12 @@ def _lowest(table: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
+def _among(rows: np.ndarray, wanted: np.ndarray, start: int) -> np.ndarray:
+    """Where each wanted number stands in ascending rows, counted from ``start``; -1 if it does not."""
+    at = np.searchsorted(rows, wanted)
+    return np.where(np.append(rows, -1)[at] == wanted, at + start, -1)
+
+
 def repeated_windows(strings: list[bytes], doc: np.ndarray, lo: np.ndarray, folder: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of the windows that also start earlier; doc and lo: the order and place of the strings."""
     made = Collection(strings, folder, block=block)
