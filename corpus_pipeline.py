@@ -1,7 +1,13 @@
 """A corpus pipeline over ``documents``: each stage calls one operator and works on all that the stage before kept.
 
 Each stage function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared
-folder and reads again as the next stage's docs. All but the last return the columns of documents.
+folder and reads again as the next stage's docs; the table before is deleted then. All but the last return the columns
+of documents.
+
+Defined cases, for every stage: a null text is empty, so it is clean, links with nothing and packs as the end id alone;
+rows without doc_id, and rows that repeat one, are judged one by one (the near-duplicate stage keeps one of equal rows);
+texts of any length are read whole; extra columns pass through all stages but the last, whatever their names; ties are
+settled by doc_id, then by position; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import decontaminate, minhash, packing, pii, toxicity
-from faultline.llm.common import materialise, table
+from faultline.llm.common import table, written
 from faultline.llm.queries import vocabulary
 
 
@@ -51,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        docs = before = written(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, f"stage{k}", before)
     return docs

@@ -7,7 +7,8 @@ the differing sections, paragraphs and leaves locate the edit. The likeness of t
 coefficient of their trees' distinct leaves: 1 for equal texts, 0 for texts without a common sentence.
 
 Neighbours by ascending doc_id are found without a global sort: texts are dealt by blocks of doc_id, and the first row
-of each block goes to the block before it, too.
+of each block goes to the block before it, too. A block is a range of ids as wide as holds BLOCK rows on average, so dense
+and evenly spread (hashed) ids make even blocks; ids in few tight clusters far apart make larger ones.
 
 Defined cases: a null text is the empty one; rows with equal doc_id are ordered by their text's digest; a single row
 is its own next document; a null doc_id sorts first; an empty table gives no rows. Other columns are not read.
@@ -63,7 +64,9 @@ def differing(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, text and the text of the next document, ascending doc_id; after the last comes the first."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    place = F.coalesce(F.expr(f"floor(doc_id / {block})"), F.lit(-(2**62)))
+    ids = docs.agg(F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high"), F.count("doc_id").alias("n")).first()
+    width = max(1, (ids["high"] - ids["low"] + 1) * block // ids["n"]) if ids["n"] else 1
+    place = F.coalesce(F.expr(f"doc_id div {min(width, 2**62)}"), F.lit(-(2**62) - 1))
     used = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy(place.alias("place")).agg(F.min("doc_id").alias("first"))
     # The block before each block that holds rows, found within blocks of blocks and across their ends.
     outer = F.expr("floor(place / 4096)")

@@ -7,8 +7,8 @@ class goes on. ``percent`` is the least similarity, 80 unless the caller sets an
 in a band of four minima are candidates; 32 bands miss a pair at similarity 0.80 with a probability of 5e-8, one at
 0.85 below 1e-10. Pairs whose 128-value signatures agree in less than six standard deviations below ``percent`` (55 %
 for 80, 65 % for 85) are dropped, and so are those whose fine sketches (the least hash in each of 1024 ranges, four
-bits each) lie six standard deviations below it; the rest are confirmed on full sets:
-``100 * intersection >= percent * union``.
+bits each) lie six standard deviations below it; the rest are confirmed on full sets of words, not hashes:
+``100 * intersection >= percent * union``. That sets are equal is told by a 128-bit digest of their sorted 64-bit hashes.
 
 All pairs of a bucket are never written out. Pass A compares each member of a bucket with the bucket's smallest
 member, and joins what is confirmed. Pass B looks at buckets that still hold several components, and only at pairs
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes
+from .common import free_name, materialise, slices, text_bytes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -46,6 +46,8 @@ PERCENT = 80
 BUCKET_ROWS = 2048
 #: Buckets of more blocks are split by the later bands: blocks would copy a row more often than bands do.
 BANDS_COPIED = BANDS
+#: Shingles of earlier texts that a task keeps while it confirms pairs.
+KEPT_SHINGLES = 100_000
 #: Ranges of the fine sketch.
 BINS = 1024
 _rng = np.random.default_rng(20240601)
@@ -177,8 +179,15 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+def word_shingles(text: bytes | None) -> set[tuple[bytes, ...]]:
+    """A text's shingles themselves."""
+    words = text.lower().split() if text else []
+    n = min(SHINGLE, len(words))
+    return set(zip(*(words[k : len(words) - n + 1 + k] for k in range(n)), strict=True))
+
+
+def similar(a: set, b: set, percent: int = PERCENT) -> bool:
+    shared = len(a & b)
     return 100 * shared >= percent * (len(a) + len(b) - shared) and shared > 0
 
 
@@ -189,18 +198,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        recent: OrderedDict[int, set] = OrderedDict()
 
-        def of(key: int, text: bytes) -> np.ndarray:
+        def of(key: int, text: bytes) -> set:
             if key not in recent:
-                recent[key] = shingle_set(text)
-                if len(recent) > 64:
+                recent[key] = word_shingles(text)
+                while len(recent) > 1 and sum(map(len, recent.values())) > KEPT_SHINGLES:
                     recent.popitem(last=False)
             return recent[key]
 
         for batch in slices(batches, 64):
             ids = zip(batch["a"].to_pylist(), text_bytes(batch["ta"]), text_bytes(batch["tb"]), strict=True)
-            keep = [similar(of(a, ta), shingle_set(tb), percent) for a, ta, tb in ids]
+            keep = [similar(of(a, ta), word_shingles(tb), percent) for a, ta, tb in ids]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
@@ -257,7 +266,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialise(small, "edges")
+        edges = materialise(small, "edges", edges)
         after = state(edges)
         if after == before:
             break
@@ -326,23 +335,19 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Where ids are null or repeat, the place in the order of doc_id stands for them; the order of unique ids is the same.
     """
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    kept_id, place, row = (free_name(n, docs) for n in ("kept_id", "place", "row"))
     if ids.isEmpty():
-        kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("kept_id"))
-        return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    place, row = "_place", "_row"
+        kept = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias(kept_id))
+        return docs.join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
     ordered = docs.withColumn(row, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), row).drop(row)
     placed = materialise(ordered.withColumn(place, F.monotonically_increasing_id()), "placed")
-    kept = near_duplicates(placed.select(F.col(place).alias("doc_id"), "text"), percent=percent).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return placed.join(kept, F.col(place) == F.col("kept_id"), "left_semi").drop(place)
+    kept = near_duplicates(placed.select(F.col(place).alias("doc_id"), "text"), percent=percent).where("kept").select(F.col("doc_id").alias(kept_id))
+    return placed.join(kept, F.col(place) == F.col(kept_id), "left_semi").drop(place)
 
 
 def brute_force(docs: list[tuple[int, str | None]], percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:
     """The rows of near_duplicates(), by comparing all pairs (tests)."""
-    sets = []
-    for _, text in docs:
-        words = (text or "").encode().lower().split()
-        n = min(SHINGLE, len(words))
-        sets.append({tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set())
+    sets = [word_shingles((text or "").encode()) for _, text in docs]
     label = list(range(len(docs)))
 
     def root(k: int) -> int:

@@ -5,13 +5,17 @@ rows, however many documents there are. The plan is a list of segments "the piec
 sequences s.., at offset o"; each step of the planner uses up a length or a group of equally filled sequences, so the
 plan, too, is bounded by the capacity. Pieces are then ranked within their length, and looked up in the plan.
 
-1. Dominance reduction (repeated until nothing more can be fixed): for the longest piece j, let k be the longest
-   other piece that fits beside it. If j + k fills a sequence, or if no two further pieces fit beside j, then {j, k}
-   (or {j} alone) dominates every other set with j: it is fixed for good and taken from the instance.
+1. Dominance reduction (Martello and Toth), over all remaining pieces j from the longest down, again and again until
+   nothing more can be fixed. A set with j dominates if the pieces of any other set with j fit into its pieces' places;
+   it is fixed for good and taken from the instance. Let i be the longest piece that fits beside j.
+   {j} dominates if no piece fits beside j; {j, i} if it fills the sequence, if no two pieces fit beside j, or if at
+   most two do and no pair is longer than i; {j, i, b} if at most two fit, b is the longest third piece, and each pair
+   of pieces that are both longer than b fits into the place of i.
 2. Best-fit decreasing on what remains: each length goes to the fullest sequences that still have room.
 
 Defined cases: null and empty texts are one token (the end id); rows with equal doc_id get their own pieces; ties of
-length are ranked by doc_id and piece; an empty table gives no rows. Other columns are not looked at.
+length are ranked by their place in the stored table of pieces; null doc_ids are packed as any other; an empty table
+gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ from .common import materialise, slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Words, and pre-tokens, whose ids a Python worker keeps.
-CACHE_WORDS = 500_000
+#: Words, and pre-tokens, whose ids a Python worker keeps, and the longest that it keeps: about 100 MB together.
+CACHE_WORDS = 300_000
+CACHE_LENGTH = 64
 # The tokenizer's pre-token pattern, for lower-cased texts whose characters are all of _PLAIN.
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
 _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
@@ -83,7 +88,7 @@ class WordEncoder:
                 if None in ids:
                     ids[:] = [learnt[w] if i is None else i for w, i in zip(own, ids, strict=True)]
             if len(self.words) < CACHE_WORDS:
-                self.words |= learnt
+                self.words |= {w: i for w, i in learnt.items() if len(w) <= CACHE_LENGTH}
         return [b"".join(ids) if ok else self.exact(t) for t, ok, ids in zip(texts, plain, found, strict=True)]
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
@@ -91,7 +96,7 @@ class WordEncoder:
         unknown = list({p for own in parts for p in own if p not in self.pretokens})
         learnt = self._learn(unknown) if unknown else {}
         if len(self.pretokens) < CACHE_WORDS:
-            self.pretokens |= learnt
+            self.pretokens |= {p: i for p, i in learnt.items() if len(p) <= CACHE_LENGTH}
         kept = self.pretokens
         return {w: b"".join([kept[p] if p in kept else learnt[p] for p in own]) for w, own in zip(words, parts, strict=True)}
 
@@ -124,8 +129,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Segments (length, first rank, count, first sequence, offset) that place all pieces; see the module's text."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, fit: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """Segments (length, first rank, count, first sequence, offset) that place all pieces; see the module's text.
+
+    ``fit=False`` gives the reduction only: the pieces that it fixes.
+    """
     left = {n: c for n, c in histogram.items() if c}
     used = dict.fromkeys(left, 0)
     out: list[tuple[int, int, int, int, int]] = []
@@ -138,53 +146,54 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
     lengths = sorted(left)
 
-    def longest(most: int) -> int:
-        """The longest length with pieces left, up to most; 0 if there is none."""
+    def longest(most: int, without: tuple[int, ...] = ()) -> int:
+        """The longest piece up to most, other than those named (once each); 0 if there is none."""
         k = bisect_left(lengths, most + 1) - 1
-        while k >= 0 and not left[lengths[k]]:
+        while k >= 0 and left[lengths[k]] <= without.count(lengths[k]):
             k -= 1
         return lengths[k] if k >= 0 else 0
 
-    # Exact pairs fill a sequence: they dominate, whatever else there is.
-    for n in reversed(lengths):
-        if n == capacity and left[n]:
-            count = left[n]
-            place(n, count, sequences, 0)
-            sequences += count
-        elif 2 * n > capacity and left.get(capacity - n):
-            count = min(left[n], left[capacity - n])
-            place(n, count, sequences, 0)
-            place(capacity - n, count, sequences, n)
-            sequences += count
-    if left.get(capacity // 2, 0) >= 2 and capacity % 2 == 0:
-        count = left[capacity // 2] // 2
-        place(capacity // 2, count, sequences, 0)
-        place(capacity // 2, count, sequences, capacity // 2)
-        sequences += count
-    # Where no two pieces fit beside the longest one, the longest that does is as good as any.
-    while True:
+    def shortest_three(without: int) -> list[int]:
+        out: list[int] = []
+        for n in lengths:
+            out += [n] * min(3 - len(out), left[n] - (n == without))
+            if len(out) == 3:
+                break
+        return out
+
+    def dominating(j: int) -> tuple[int, ...] | None:
+        """The set with j that dominates all others, if one is known to."""
+        room = capacity - j
+        i = longest(room, (j,))
+        if not i:
+            return (j,)
+        three = shortest_three(j)
+        if i == room or len(three) < 2 or three[0] + three[1] > room:
+            return (j, i)
+        if len(three) == 3 and sum(three) <= room:
+            return None
+        pairs = [(x, y) for y in lengths if 2 * y <= room and left[y] > (y == j) and (x := longest(room - y, (j, y))) >= y]
+        if all(x + y <= i for x, y in pairs):
+            return (j, i)
+        b = longest(room - i, (j, i))
+        return (j, i, b) if b and all(y <= b or x + y <= i for x, y in pairs) else None
+
+    reduced = True
+    while reduced:
+        reduced = False
+        for j in sorted((n for n in lengths if left[n]), reverse=True):
+            while left[j] and (found := dominating(j)):
+                # What is taken away leaves the reasons as they are, so the set is fixed as often as its pieces last.
+                count = min(left[n] // found.count(n) for n in found)
+                offset = 0
+                for n in found:
+                    place(n, count, sequences, offset)
+                    offset += n
+                sequences += count
+                reduced = True
         lengths = [n for n in lengths if left[n]]
-        if not lengths:
-            return out
-        j, least = lengths[-1], lengths[0]
-        two_least = 2 * least if left[least] >= 2 else least + (lengths[1] if len(lengths) > 1 else capacity)
-        if j + two_least <= capacity:
-            break
-        left[j] -= 1  # the one that is placed is not its own partner
-        k = longest(capacity - j)
-        left[j] += 1
-        if k == 0:
-            count = left[j]
-            place(j, count, sequences, 0)
-        elif k == j:
-            count = left[j] // 2
-            place(j, count, sequences, 0)
-            place(j, count, sequences, j)
-        else:
-            count = min(left[j], left[k])
-            place(j, count, sequences, 0)
-            place(k, count, sequences, j)
-        sequences += count
+    if not fit:
+        return out
     # Best-fit decreasing: groups of equally filled sequences, by room.
     rooms: list[int] = []
     groups: dict[int, list[tuple[int, int]]] = {}  # room -> (first sequence, count)
@@ -220,21 +229,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def ranked(found: DataFrame, block: int = 4096) -> DataFrame:
-    """Adds ``rank``: 0.. within a length, by doc_id and piece, without one task for a length.
+def ranked(found: DataFrame) -> DataFrame:
+    """Adds ``rank``: 0.. within a length, without one task for a length; found: a stored table.
 
-    Rows are numbered within blocks of doc_id; a block's first rank is the count of all blocks before it.
+    Rows are numbered within the files of the table, each of which one task has written; a file's first rank is the
+    count of all files before it. Window partitions have a row for each file, or the rows of one file.
     """
-    found = found.withColumn("block", F.expr(f"doc_id div {block}"))
-    counts = found.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
-    # Blocks of blocks keep the second window short, too.
-    outer = F.expr(f"block div {block}")
-    tops = counts.groupBy("length", outer.alias("top")).agg(F.sum("n").alias("top_n"))
-    before_top = tops.select("length", "top", (F.sum("top_n").over(Window.partitionBy("length").orderBy("top")) - F.col("top_n")).alias("base"))
-    within = counts.withColumn("top", outer).withColumn("own_base", F.sum("n").over(Window.partitionBy("length", "top").orderBy("block")) - F.col("n"))
-    bases = within.join(before_top, (within["length"] == before_top["length"]) & within["top"].eqNullSafe(before_top["top"])).select(within["length"].alias("b_length"), F.col("block").alias("b_block"), (F.col("base") + F.col("own_base")).alias("first_rank"))
-    numbered = found.withColumn("row", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    return numbered.join(bases, (F.col("length") == F.col("b_length")) & F.col("block").eqNullSafe(F.col("b_block"))).withColumn("rank", F.col("first_rank") + F.col("row")).drop("block", "row", "b_length", "b_block", "first_rank")
+    found = found.select("*", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    counts = found.groupBy("length", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("file")) - F.col("n")
+    bases = counts.select(F.col("length").alias("b_length"), F.col("file").alias("b_file"), before.alias("first_rank"))
+    row = F.row_number().over(Window.partitionBy("length", "file").orderBy("row_index", "doc_id", "piece", "ids_crc32")) - 1
+    numbered = found.withColumn("row", row).join(bases, (F.col("length") == F.col("b_length")) & (F.col("file") == F.col("b_file")))
+    return numbered.withColumn("rank", F.col("first_rank") + F.col("row")).drop("file", "row_index", "row", "b_length", "b_file", "first_rank")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -104,7 +104,7 @@ def test_fine_sketch_loses_no_similar_pair():
             apart = int(n * 0.15 / 1.85)  # what each set may have on its own at 0.85
             pool = rng.integers(0, 2**64, n + apart, dtype=np.uint64)
             a, b = np.unique(pool[:n]), np.unique(pool[apart:])
-            assert minhash.similar(a, b)
+            assert minhash.similar(set(a.tolist()), set(b.tolist()))
             fine = minhash.unpacked([minhash.fine_sketch(a).tobytes(), minhash.fine_sketch(b).tobytes()])
             kept.append(minhash.likely(fine[:1], fine[1], np.array([len(a) + len(b)]))[0])
             c = np.unique(np.concatenate([pool[: n // 2], rng.integers(0, 2**64, n - n // 2, dtype=np.uint64)]))
@@ -203,6 +203,43 @@ def test_pii_equals_patterns():
     assert pii.masked("mail a.b@c.org or 10.0.0.1, ftp://me:pw@host/x") == "mail [EMAIL] or [IP], [URL]" or "[" in pii.masked("a@b.co")
 
 
+def test_pii_rows_equal_the_patterns(spark, docs):
+    """Counts, digests and spans of two whole tables and of a very long text."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").union(docs.selectExpr("-doc_id - 1", "text"))
+    table = table.union(spark.createDataFrame([(None, "a@b.co 10.0.0.1"), (2**60, "+49 30 1234567, x@y.de " * 60_000)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in table.collect()}
+    got = pii.detect(table.selectExpr("*", "1 as spans", "2 as n_email")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = pii.brute_force(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.BASE_KINDS]
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s.split(":")[0] in pii.BASE_KINDS] == ([s for s in pii.joined(base).split(",") if s])
+
+
+def test_toxicity_rows_equal_noisy_or(spark):
+    """Scores recomputed from sentence scores, for every row; held-out rows teach nothing."""
+    import zlib
+
+    table, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    more = table.select("doc_id", "text").union(spark.createDataFrame([(None, None), (10**9, ""), (10**9, "word " * 200_000)], "doc_id long, text string")).selectExpr("*", "1 as score", "2 as toxic", "3 as id", "4 as sentences")
+    model = toxicity.fit(more, labels.withColumn("text", F.lit("x")))
+    got = toxicity.score(more, model).collect()
+    texts = {(r.doc_id, len(r.text or "")): r.text for r in more.collect()}
+    assert len(got) == more.count()
+    for (doc_id, _), text in texts.items():
+        clean = 1.0
+        for sentence in toxicity.sentences(text):
+            z = model.bias + sum(model.weights.get(w, 0.0) for w in toxicity.sentence_features(sentence))
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        mine = [r for r in got if r.doc_id == doc_id and abs(r.score - (1 - clean)) < 1e-9]
+        assert mine and all(r.predicted == int(r.score >= 0.7) and r.held_out == (doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1) for r in mine)
+    held = [r.doc_id for r in got if r.held_out]
+    flipped = labels.withColumn("toxic", F.when(F.col("doc_id").isin(held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(more, flipped)
+    assert again.weights == model.weights and again.bias == model.bias
+
+
 def test_pii_mask_keeps_columns(docs):
     masked = pii.mask(docs)
     assert masked.columns == docs.columns and masked.count() == docs.count()
@@ -228,6 +265,69 @@ def test_packing_plan_is_gapless_and_tight():
             assert at <= capacity
 
 
+def test_packing_reduction_keeps_the_optimum():
+    """The sequences that are fixed and the best of what remains are together the best of all."""
+
+    def best(items, capacity):
+        items, found = sorted(items, reverse=True), [len(items)]
+
+        def place(k, used):
+            if len(used) >= found[0]:
+                return
+            if k == len(items):
+                found[0] = len(used)
+                return
+            for room in {u for u in used if u + items[k] <= capacity}:
+                i = used.index(room)
+                place(k + 1, [*used[:i], room + items[k], *used[i + 1 :]])
+            place(k + 1, [*used, items[k]])
+
+        place(0, [])
+        return found[0]
+
+    rng = random.Random(3)
+    worse = fixed = 0
+    for _ in range(400):
+        capacity, histogram = rng.choice([10, 17, 30]), {}
+        for _ in range(rng.randint(1, 9)):
+            n = rng.randint(1, capacity)
+            histogram[n] = histogram.get(n, 0) + 1
+        optimum = best([n for n, c in histogram.items() for _ in range(c)], capacity)
+        sequences = lambda p: {s + k for _, _, count, s, _ in p for k in range(count)}
+        worse += len(sequences(packing.plan(histogram, capacity))) > optimum
+        reduced, rest = packing.plan(histogram, capacity, fit=False), dict(histogram)
+        for n, _, count, _, _ in reduced:
+            rest[n] -= count
+        fixed += len(sequences(reduced))
+        assert len(sequences(reduced)) + best([n for n, c in rest.items() for _ in range(c)], capacity) == optimum
+    assert worse <= 2 and fixed > 400
+
+
+def test_packing_rows_equal_the_tokenizer(spark, docs):
+    """Every column of every piece of two whole tables, and few sequences."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").union(docs.selectExpr("-doc_id - 1", "text")).union(spark.createDataFrame([(None, "no id"), (2**60, "x")], "doc_id long, text string"))
+    want = []
+    for r in table.collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want += [(r.doc_id, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], dtype="<u4").tobytes())) for k in range(0, len(ids), 4096)]
+    more = table.selectExpr("*", "1 as length", "2 as rank", "3 as file", "4 as piece")
+    got = packing.pack(more, path).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
+    used: dict[int, list] = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in used.values():
+        ends = [a + n for a, n in sorted(own)]
+        assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(used) <= -(-sum(w[3] for w in want) // 4096) + 1
+
+
 def test_packing_ids(docs, texts):
     from tokenizers import Tokenizer
 
@@ -260,6 +360,43 @@ def test_token_tree_follows_edits():
             tree.edit(a, b, new)
             text = text[:a] + new + text[b:]
             assert tree.text() == text and tree.tokens == len(counts.encoding.encode_ordinary(text))
+            tree = tokencount.TokenTree.stored(tree.text(), *tree.figures(), counts)
+            assert tree.text() == text and tree.tokens == len(counts.encoding.encode_ordinary(text))
+
+
+def test_count_edited_equals_encoding_the_edited_text(spark, docs):
+    """Whole tables: stored trees after edits, and after edits of the edited, against encoding the texts anew."""
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    counts = tokencount.counter(path)
+    size = lambda t: len(counts.encoding.encode_ordinary(t))
+
+    def edited(text):
+        third, half = len(text) // 3, len(text) // 2
+        text = text[:third] + "a revised passage, 2024" + text[third + 20 :]
+        text = text[:half] + text[half + 15 :]
+        return text + " The end."
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").union(docs.select(-F.col("doc_id") - 1, "text", "lang"))
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    more = table.selectExpr("*", "1 as n_tokens", "2 as leaf_chars", "3 as edits")
+    got = tokencount.count_edited(more, tokencount.standard_edits(F.col("text")), path).collect()
+    assert len(got) == len(texts) and sum(r.n_encoded for r in got) < 0.2 * sum(r.n_pretokens for r in got)
+    for r in got:
+        assert (r.n_tokens, r.n_pretokens) == (size(texts[r.doc_id]), len(tokencount._SPLIT.findall(texts[r.doc_id])))
+    trees = tokencount.build_trees(table, path)
+    for _ in range(2):
+        trees = tokencount.apply_edits(trees, tokencount.standard_edits(F.col("text")), path)
+        own = trees.collect()
+        texts = {r.doc_id: r.text for r in own}
+        assert all(r.n_tokens == size(r.text) == sum(r.leaf_tokens) for r in own)
+        trees = trees.drop("n_tokens_before", "n_pretokens_before", "n_encoded")
+    once = {r.doc_id: r.n_tokens_edited for r in got}
+    first = tokencount.apply_edits(tokencount.build_trees(table, path), tokencount.standard_edits(F.col("text")), path).collect()
+    assert {r.doc_id: r.n_tokens for r in first} == once
+    plain = {r.doc_id: r.text or "" for r in table.collect()}
+    assert all(r.text == edited(plain[r.doc_id]) for r in first if len(plain[r.doc_id]) > 200)
+    none = F.lit(None).cast("array<struct<start:int,stop:int,replacement:string>>")
+    assert all(r.n_tokens == r.n_tokens_edited and r.n_encoded == 0 for r in tokencount.count_edited(docs, none, path).collect())
 
 
 def test_fingerprints(docs, texts):
@@ -415,18 +552,50 @@ def test_toxicity_learns_held_out(spark):
     assert empty.score("anything") < 0.01
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Recall and precision on sf0.01: each row equals the comparison of all pairs of 1,000 documents, by words."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = sorted(minhash.brute_force([(r.doc_id, r.text) for r in table.collect()], 85))
+    assert rows(QUERIES["op5_near_duplicates"](spark, "/root/testdata/sf0.01")) == want
+
+
 def test_empty_tables(spark, docs):
+    import corpus_pipeline as p
+
     none = docs.where("doc_id < 0")
     bench = spark.createDataFrame([], "item_id long, text string")
-    for df in (minhash.near_duplicates(none), suffixdedup.deduplicate(none), merkle.edited_fingerprints(none), pii.detect(none), packing.pack(none, vocabulary("word_bpe_49k.json")), decontaminate.report(decontaminate.find_windows(none, bench)), warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")), htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string"))):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    path, ids = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.tiktoken")
+    edits = tokencount.standard_edits(F.col("text"))
+    for df in (minhash.near_duplicates(none), minhash.deduplicate(none), suffixdedup.deduplicate(none), merkle.edited_fingerprints(none), pii.detect(none), pii.mask(none), packing.pack(none, path), decontaminate.report(decontaminate.find_windows(none, bench)), decontaminate.decontaminate(none, bench), warc.archive_pages(pages), htmltext.extract(pages), toxicity.score(none, toxicity.fit(none, labels)), tokencount.count_edited(none, edits, ids)):
         assert df.count() == 0
     assert not any(r.contaminated for r in decontaminate.report(decontaminate.find_windows(docs, bench)).collect())
+    assert decontaminate.decontaminate(docs, bench).count() == docs.count()
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).where("score > 0.001").count() == 0
+    for _, stage in p.STAGES:
+        assert stage(spark, none, SMALL).count() == 0
 
 
 def test_clashing_extra_columns(spark, docs):
-    more = docs.selectExpr("*", "1 as id", "2 as n", "3 as signature", "4 as key", "5 as place", "6 as length")
-    for f in (minhash.near_duplicates, suffixdedup.deduplicate, merkle.edited_fingerprints, pii.detect):
-        assert f(more).count() == docs.count()
+    """The same rows with and without columns that are named as the operators' own; stages keep the columns."""
+    import corpus_pipeline as p
+
+    names = "id n signature key place length kept_id component kept runs items score score_ toxic page host sentences slice idx lo file rank row segment u v a b _place _row bytes band bands fine group salt n_tokens edits"
+    extra = [f"{k} as {name}" for k, name in enumerate(names.split())]
+    more = docs.selectExpr("*", *extra)
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0), "x", 1) for i in range(40)], "doc_id long, quality int, toxic int, text string, id int")
+    bench = spark.createDataFrame([(1, "alpha1 beta2", 5, "x")], "item_id long, text string, doc_id int, item string")
+    path, ids = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.tiktoken")
+    one = lambda f: sorted(map(repr, (tuple(r) for r in f(docs).collect())))
+    two = lambda f: sorted(map(repr, (tuple(r) for r in f(more).collect())))
+    for f in (minhash.near_duplicates, suffixdedup.deduplicate, merkle.edited_fingerprints, pii.detect, lambda d: decontaminate.find_windows(d, bench), lambda d: toxicity.score(d, toxicity.fit(d, labels)), lambda d: packing.pack(d, path).select("doc_id", "piece", "start", "length", "ids_crc32"), lambda d: tokencount.count_edited(d, tokencount.standard_edits(F.col("text")), ids)):
+        assert one(f) == two(f)
+    for _, stage in p.STAGES[:-1]:
+        left = stage(spark, more, SMALL)
+        assert left.columns == more.columns and rows(left.select("doc_id", "text").na.fill("-")) == rows(stage(spark, docs, SMALL).select("doc_id", "text").na.fill("-"))
+    pages = spark.createDataFrame([(1, "http://a/", "<p>one", 3, "x", "y"), (1, None, None, 4, "x", "y")], "page_id long, url string, html string, refers_to int, host string, content string").selectExpr("*", *(f"{k} as {c}" for k, c in enumerate("k_sha1 largest o_k_hash k_salt zones texts prints part name records".split())))
+    assert warc.archive_pages(pages).count() == 2 and sorted(r.text for r in htmltext.extract(pages).collect()) == ["", "one"]
 
 
 @pytest.mark.skipif(sys.platform != "linux", reason="test tables")
