@@ -21,11 +21,19 @@ def _bound(value: Column, body) -> Column:
 
 
 def embed(text: Column, dimension: int = DIMENSION) -> Column:
-    """The default embedder: hashed term frequencies of unit length; zeros for a text without terms."""
-    places = F.transform(T.analyzed(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimension)
-    counts = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.size(F.filter(p, lambda x: x == d)).cast("double"))
+    """The default embedder: hashed term frequencies of unit length; zeros for a text without terms.
+
+    Places are sorted and counted by differences of their positions, so a text of n terms costs n log n and one pass
+    over the dimension, not a search of all terms for each place.
+    """
+    places = F.array_sort(F.transform(T.analyzed(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimension).cast("int")))
+    # Ends of runs of equal places: the run's length is the distance to the end before.
+    ends = lambda p: F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == F.size(p)) | (F.get(p, i) != F.get(p, i - 1)))
+    counted = lambda p, e: F.map_from_arrays(F.transform(e, lambda i: F.get(p, i - 1)), F.transform(e, lambda i, j: (i - F.coalesce(F.get(e, j - 1), F.lit(0))).cast("double")))
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.coalesce(F.try_element_at(m, d), F.lit(0.0)))
     unit = lambda c: _bound(F.greatest(norm(c), F.lit(1.0)), lambda n: F.transform(c, lambda x: x / n))  # noqa: E731  counts: norm 0, or 1 and more
-    return _bound(places, lambda p: _bound(counts(p), unit))
+    zeros = F.array_repeat(F.lit(0.0), dimension)
+    return _bound(places, lambda p: F.when(F.size(p) == 0, zeros).otherwise(_bound(ends(p), lambda e: _bound(counted(p, e), lambda m: _bound(dense(m), unit)))))
 
 
 def embedded(rows: DataFrame, text: Column, embedder=embed) -> DataFrame:

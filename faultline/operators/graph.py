@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import near_codes
+from .embedding import embed, embedded
+from .search import near_codes, vector_search
 
 WEIGHTS = (0.4, 0.4, 0.2)
 LABELS = ("symptom", "cause", "remedy")
@@ -48,26 +49,40 @@ def similarity_edges(symptoms: DataFrame, least: float = 0.8, k: int = 5) -> Dat
     """src, dst, score: the k most similar symptoms of each, by cosine, word overlap and error codes.
 
     Lossless blocking by codes: a pair without codes at most two edits apart reaches ``least`` only with equal word
-    sets, so those are an equi-join; the others are joined on near codes, and word overlap has a floor of
-    1 - 0.5 * code similarity (for the default weights and threshold) before the score is taken.
+    sets; the others are joined on near codes, and word overlap has a floor of 1 - 0.5 * code similarity (for the
+    default weights and threshold). Sets that overlap by the least floor share one of their rarest words, so blocks are
+    cut by those, too. Symptoms of equal words and codes are one shape; shapes are compared, not symptoms, and of a
+    shape's symptoms only the k + 1 first can be among another's k best. So no group is paired with itself.
     """
-    if least - WEIGHTS[0] - WEIGHTS[2] / 3 <= 0:
+    lowest = (least - WEIGHTS[0] - WEIGHTS[2]) / WEIGHTS[1]
+    if lowest <= 0:
         raise ValueError("the blocking needs a threshold above the cosine and code weights")
-    rows = symptoms.select("symptom", F.sort_array(T.token_set(F.col("symptom"))).alias("t"), F.array_distinct(T.strict_codes(F.col("symptom"))).alias("codes")).distinct()
-    coded = rows.select("symptom", "t", F.explode("codes").alias("code"))
-    codes = coded.select("code").distinct()
+    rows = symptoms.select("symptom", F.sort_array(T.token_set(F.col("symptom"))).alias("t"), F.sort_array(F.array_distinct(T.strict_codes(F.col("symptom")))).alias("codes")).distinct()
+    rows = rows.withColumn("shape", F.sha2(F.to_json(F.struct("t", "codes")), 256))
+    shapes = rows.select("shape", "t", "codes").distinct()
+    words = shapes.where(F.size("codes") > 0).select("shape", F.size("t").alias("n"), F.explode("t").alias("word"))
+    known = words.groupBy("word").agg(F.count(F.lit(1)).alias("shapes"))
+    nth = F.row_number().over(Window.partitionBy("shape").orderBy("shapes", "word"))
+    rare = words.join(known, "word").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(lowest * F.col("n") - 1e-9) + 1).select("shape", "word")
+    coded = shapes.select("shape", "t", F.explode("codes").alias("code")).join(rare, "shape")
+    codes = shapes.select(F.explode("codes").alias("code")).distinct()
     near = near_codes(codes.select(F.col("code").alias("asked")), codes, 2).select(F.col("asked").alias("ca"), F.col("code").alias("cb"), "d")
-    a = coded.select(F.col("symptom").alias("src"), F.col("t").alias("ta"), F.col("code").alias("ca"))
-    b = coded.select(F.col("symptom").alias("dst"), F.col("t").alias("tb"), F.col("code").alias("cb"))
+    a = coded.select(F.col("shape").alias("sa"), F.col("t").alias("ta"), F.col("code").alias("ca"), "word")
+    b = coded.select(F.col("shape").alias("sb"), F.col("t").alias("tb"), F.col("code").alias("cb"), "word")
     floor = (least - WEIGHTS[0] - WEIGHTS[2] * (1 - F.col("d") / 3)) / WEIGHTS[1]
     shared = F.size(F.array_intersect("ta", "tb"))
-    by_code = a.join(near, "ca").join(b, "cb").where("src <> dst").where(shared / (F.size("ta") + F.size("tb") - shared) >= floor - 1e-9)
-    by_code = by_code.groupBy("src", "dst").agg(F.min("d").alias("d"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
-    left = rows.select(F.col("symptom").alias("src"), F.col("t").alias("ta"))
-    equal = left.join(rows.select(F.col("symptom").alias("dst"), F.col("t").alias("tb")), F.col("ta") == F.col("tb")).where("src <> dst").select("src", "dst", F.lit(-1).alias("d"), "ta", "tb")
-    scored = _both(by_code.select("src", "dst", "d", "ta", "tb").union(equal)).groupBy("src", "dst").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    by_code = a.join(near, "ca").join(b, ["cb", "word"]).where("sa <> sb").where(shared / (F.size("ta") + F.size("tb") - shared) >= floor - 1e-9)
+    by_code = by_code.groupBy("sa", "sb").agg(F.min("d").alias("d"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    left = shapes.select(F.col("shape").alias("sa"), F.col("t").alias("ta"))
+    equal = left.join(shapes.select(F.col("shape").alias("sb"), F.col("t").alias("tb")), F.col("ta") == F.col("tb")).where("sa <> sb").select("sa", "sb", F.lit(-1).alias("d"), "ta", "tb")
+    own = shapes.select(F.col("shape").alias("sa"), F.col("shape").alias("sb"), F.when(F.size("codes") > 0, 0).otherwise(-1).alias("d"), F.col("t").alias("ta"), F.col("t").alias("tb"))
+    pairs = by_code.select("sa", "sb", "d", "ta", "tb").union(equal).union(own)
+    scored = _both(pairs).groupBy("sa", "sb").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+    place = F.row_number().over(Window.partitionBy("shape").orderBy("symptom"))
+    firsts = rows.withColumn("place", place).where(F.col("place") <= k + 1).select(F.col("shape").alias("sb"), F.col("symptom").alias("dst"))
+    found = rows.select(F.col("symptom").alias("src"), F.col("shape").alias("sa")).join(scored, "sa").join(firsts, "sb").where("src <> dst").select("src", "dst", "score")
     order = Window.partitionBy("src").orderBy(F.col("score").desc(), "dst")
-    return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
+    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
 
 
 def propagate(rows: DataFrame, similar: DataFrame) -> DataFrame:
@@ -133,11 +148,45 @@ def orphans(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
 def remedy_sharing(paths: DataFrame) -> DataFrame:
     """Counts over ordered pairs of different symptoms with the same cause and remedy.
 
-    Pairs are counted by cause and remedy group sizes, but a pair may share several: only those are joined.
+    Symptoms with the same set of shared groups are one profile. A pair of profiles is counted by its sizes, so the
+    pairs within a group are not written; pairs of different profiles are those that meet in a group.
     """
     p = paths.select("symptom", "cause", "remedy").distinct()
     sizes = p.groupBy("cause", "remedy").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = p.join(sizes, ["cause", "remedy"])
-    a, b = shared.select(F.col("symptom").alias("s1"), "cause", "remedy"), shared.select(F.col("symptom").alias("s2"), "cause", "remedy")
-    pairs = a.join(b, ["cause", "remedy"]).where("s1 <> s2").select("s1", "s2").distinct().agg(F.count(F.lit(1)).alias("pairs"))
-    return shared.agg(F.count_distinct("remedy").alias("remedies"), F.count_distinct("cause").alias("causes")).crossJoin(pairs)
+    own = shared.groupBy("symptom").agg(F.sort_array(F.collect_set(F.struct("cause", "remedy"))).alias("groups"))
+    profiles = own.groupBy("groups").agg(F.count(F.lit(1)).alias("n"))
+    met = profiles.select("groups", "n", F.explode("groups").alias("g"))
+    left, right = met.select(F.col("groups").alias("p1"), F.col("n").alias("n1"), "g"), met.select(F.col("groups").alias("p2"), F.col("n").alias("n2"), "g")
+    pairs = left.join(right, "g").select("p1", "n1", "p2", "n2").distinct()
+    count = F.when(F.col("p1") == F.col("p2"), F.col("n1") * (F.col("n1") - 1)).otherwise(F.col("n1") * F.col("n2"))
+    total = pairs.agg(F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("pairs"))
+    return shared.agg(F.count_distinct("remedy").alias("remedies"), F.count_distinct("cause").alias("causes")).crossJoin(total)
+
+
+def pairwise_cosine(vectors: DataFrame, key: str, least: float = 0.8, k: int = 5) -> DataFrame:
+    """src, dst, score: the k nearest others of each vector (key, embedding) above a threshold; a vector is not its own."""
+    asked = vectors.select(F.col(key).alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = vector_search(asked, vectors, k + 1, least, key).where(F.col(key) != F.col("query_id"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("query_id").alias("src"), F.col(key).alias("dst"), "score")
+
+
+def cosine_edges(symptoms: DataFrame, least: float = 0.8, k: int = 5, embedder=embed) -> DataFrame:
+    """The edges of similarity_edges() by vectors alone: what remains where words and codes cannot be compared."""
+    return pairwise_cosine(embedded(symptoms.select("symptom").distinct(), F.col("symptom"), embedder), "symptom", least, k)
+
+
+def combined_edges(rows: DataFrame, least: float = 0.8, k: int = 5, embedder=embed) -> DataFrame:
+    """Edges between symptoms whose combined texts are alike: each text travels with its own symptom."""
+    return pairwise_cosine(embedded(with_combined_text(rows), F.col("combined_text"), embedder), "symptom", least, k)
+
+
+def build_sparse(rows: DataFrame) -> DataFrame:
+    """The sparse graph's paths: one a triplet, nothing merged."""
+    return rows.select(F.col("row_no").alias("triplet_id"), "symptom", "cause", "remedy", "equipment")
+
+
+def build_combined(rows: DataFrame, least: float = 0.8, k: int = 5, embedder=embed) -> DataFrame:
+    """Paths of the graph with combined texts after its similarity edges and one hop of propagation."""
+    return expand(propagate(rows, combined_edges(rows, least, k, embedder)), rows).join(with_combined_text(rows), "symptom")

@@ -12,13 +12,17 @@ from .embedding import embed, embedded, embedded_queries
 
 K1, B = 1.2, 0.75
 BLOCK, PACK = 4096, 512  # vectors and queries that meet in one task
-CATALOGUE = 10_000  # names that may be broadcast
+
+
+def postings_of(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf, length) of analysed rows (key, terms): one row a term and document; length counts all terms."""
+    each = rows.select(key, F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
+    return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, length): one row a term and document; length counts all terms of the document."""
-    rows = docs.select(key, T.analyzed(F.col(text)).alias("terms")).where(F.size("terms") > 0)
-    return rows.select(key, F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    """Postings of texts, which are analysed once."""
+    return postings_of(docs.select(key, T.analyzed(F.col(text)).alias("terms")), key)
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -34,14 +38,23 @@ def top_k(rows: DataFrame, k: int, by: str, score: str, *ties: str) -> DataFrame
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, mode: str = "or", least: float = 0.0, key: str = "doc_id", clean=T.clean_query) -> DataFrame:
     """query_id, key, score, rank. mode 'and' keeps documents that hold every query term.
 
-    The query side is joined to postings before anything is scored, so only matching postings move.
+    Texts are analysed here; many searches of one table should ask a stored index (vector_index.build_lexical_index).
     """
     index = postings(docs, key)
     totals = docs.select(F.size(T.analyzed(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean_length"))
+    return bm25_of(queries, index, None, totals, k, mode, least, key, clean)
+
+
+def bm25_of(queries: DataFrame, index: DataFrame, statistics: DataFrame | None, totals: DataFrame, k: int, mode: str, least: float, key: str, clean) -> DataFrame:
+    """bm25() over postings, the terms' document counts (counted here if None) and totals (n_docs, mean_length).
+
+    Postings are reduced to the queries' terms before anything is scored, so only matching ones move.
+    """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.analyzed(clean(F.col("text"))))).alias("term"))
     wanted = terms.withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    matched = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = term_statistics(matched)
+    asked = terms.select("term").distinct()
+    matched = index.join(asked, "term", "left_semi")
+    df = term_statistics(matched) if statistics is None else statistics.join(asked, "term", "left_semi")
     rows = matched.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.log(F.col("n_docs") / (F.col("df") + 1)) + 1
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -107,11 +120,12 @@ def index_kind(n: Column) -> Column:
     return F.when(n < 1000, "flat").when(n < 10000, "hnsw").otherwise("ivf")
 
 
-def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """Non-empty vectors without NaN or infinite values, of the table's dimension (that of its smallest id)."""
+def valid_vectors(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Non-empty vectors without NaN, infinite or null values, of the table's dimension (that of its smallest key)."""
     fine = ~F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull())
     rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    return rows
+    dim = rows.agg(F.min_by(F.size("embedding"), key).alias("valid_dim"))  # one row
+    return rows.join(F.broadcast(dim), F.size("embedding") == F.col("valid_dim"), "left_semi")
 
 
 def deletions(code: Column, most: int) -> Column:
@@ -183,17 +197,37 @@ def top_equipment(asked: DataFrame, known: DataFrame, k: int = 3, least: float =
     return vector_search(embedded_queries(queries, embedder), embedded(names, F.col("name"), embedder), k, key="name").where(F.col("score") >= least)
 
 
+def _grams(text: Column, n: int = 3) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def held_names(asked: DataFrame, known: DataFrame, n: int = 3) -> DataFrame:
+    """(query_id, list_no) where one text (a) holds the other (b): an equi-join on the shorter one's first n characters.
+
+    asked: query_id, a; known: list_no, b; texts in lower case. Texts of fewer than n characters are compared with all.
+    """
+    holds = F.contains("a", F.col("b")) | F.contains("b", F.col("a"))
+    long_a, long_b = asked.where(F.length("a") >= n), known.where(F.length("b") >= n)
+    first = lambda c: F.substring(c, 1, n).alias("gram")
+    one = long_a.select("query_id", "a", F.explode(_grams(F.col("a"), n)).alias("gram")).join(long_b.select("list_no", "b", first("b")), "gram")
+    two = long_a.select("query_id", "a", first("a")).join(long_b.select("list_no", "b", F.explode(_grams(F.col("b"), n)).alias("gram")), "gram")
+    short_a, short_b = asked.where((F.length("a") < n) & (F.col("a") != "")), known.where((F.length("b") < n) & (F.col("b") != ""))
+    rest = [short_a.join(known, F.contains("b", F.col("a")) | F.contains("a", F.col("b"))), long_a.join(short_b, F.contains("a", F.col("b")))]
+    out = one.where(holds).select("query_id", "list_no").union(two.where(holds).select("query_id", "list_no"))
+    for part in rest:
+        out = out.union(part.select("query_id", "list_no"))
+    return out.distinct()
+
+
 def match_equipment(asked: DataFrame, known: DataFrame, least: float = 0.9, embedder=embed) -> DataFrame:
     """asked (query_id, equipment) to one known (list_no, name): the first equal, else the first that holds or is held,
     else the nearest by vectors above the threshold, else null. Blank names match nothing."""
-    known = known.where(F.trim("name") != "")
-    small = known.limit(CATALOGUE + 1).count() <= CATALOGUE
-    a, b = F.lower(F.trim("equipment")), F.lower(F.trim("name"))
-    stage = F.when(a == b, 1).when(F.contains(a, b) | F.contains(b, a), 2)
-    named = asked.where(F.trim("equipment") != "")
-    rows = named.join(F.broadcast(known) if small else known, stage.isNotNull()).withColumn("stage", stage)
-    order = Window.partitionBy("query_id").orderBy("stage", "list_no")
-    best = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("query_id", "name", "stage")
+    names = known.where(F.trim("name") != "").select("list_no", "name", F.lower(F.trim("name")).alias("b"))
+    named = asked.where(F.trim("equipment") != "").select("query_id", "equipment", F.lower(F.trim("equipment")).alias("a"))
+    equal = named.join(names, F.col("a") == F.col("b")).groupBy("query_id").agg(F.min("list_no").alias("list_no")).withColumn("stage", F.lit(1))
+    unequal = named.join(equal.select("query_id"), "query_id", "left_anti")
+    part = held_names(unequal.select("query_id", "a"), names.select("list_no", "b")).groupBy("query_id").agg(F.min("list_no").alias("list_no")).withColumn("stage", F.lit(2))
+    best = equal.union(part).join(names.select("list_no", "name"), "list_no").select("query_id", "name", "stage")
     left = named.join(best, "query_id", "left_anti")
-    nearest = top_equipment(left, known, 1, least, embedder).select("query_id", "name", F.lit(3).alias("stage"))
+    nearest = top_equipment(left.select("query_id", "equipment"), known, 1, least, embedder).select("query_id", "name", F.lit(3).alias("stage"))
     return asked.select("query_id").join(best.union(nearest), "query_id", "left").select("query_id", F.col("name").alias("matched"), F.col("stage").cast("long").alias("stage"))

@@ -135,9 +135,14 @@ def x20(spark, d):
     return docs_of(spark, d).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("x22_event_json", "select event_id, (props::json->>'$.k')::bigint as k, length(props)::bigint as n from events")
+_REPLY = "case row_no % 4 when 0 then 'Here it is: ```json' || chr(10) || '{\"symptom\": \"' || symptom || '\", \"n\": {\"k\": 1}}' || chr(10) || '``` and {\"other\": 2}' when 1 then 'Sure: {\"symptom\": \"' || symptom || '\", \"n\": {\"k\": 2}} {\"b\": 3}' when 2 then 'none' else '{\"broken' end"
+
+
+@query("x22_json_in_prose", _SCR + ", r as (select row_no, symptom, " + _REPLY + " as reply from scr), j as (select row_no, coalesce(nullif(regexp_extract(reply, '(?is)```json\\s*(\\{.*?\\})\\s*```', 1), ''), nullif(regexp_extract(reply, '(?s)\\{(?:[^{}]|\\{[^{}]*\\})*\\}', 0), '')) as j from r) select row_no, j, j::json->>'$.symptom' as symptom, (j::json->>'$.n.k')::bigint as k from j")
 def x22(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.length("props").cast("long").alias("n"))
+    """JSON objects in prose: fenced, bare, absent and broken."""
+    j = T.json_in_prose(F.expr(_REPLY.replace("chr(10)", "char(10)")))
+    return scr(spark, d).select("row_no", j.alias("j")).select("row_no", "j", F.get_json_object("j", "$.symptom").alias("symptom"), F.get_json_object("j", "$.n.k").cast("long").alias("k"))
 
 
 # -- chunks, corpus statistics ---------------------------------------------------------------------------------------
@@ -149,7 +154,20 @@ def c01(spark, d):
     return rows.select("document_id", "chunk_id", F.md5("text").alias("hash"), "word_count", "char_count")
 
 
-@query("c02_sentence_groups")
+_SENTENCES = r"list_filter(regexp_split_to_array(regexp_replace(trim(coalesce(text, '')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+
+
+@query("c02_sentence_groups", rf"""with recursive base as materialized (select row_number() over () as r, doc_id, {_SENTENCES} as ss from documents),
+    sized as materialized (select r, doc_id, ss, list_transform(ss, lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> ''))) as n from base where len(ss) > 0),
+    run as (
+        select r, 1::bigint as k, 1::bigint as first, n[1]::bigint as held, 0::bigint as chunk_id, 0::bigint as out_first, 0::bigint as out_last from sized
+        union all
+        select r, k + 1, case when full_now then carry else first end, case when full_now then coalesce(list_sum(n[carry:k]), 0) + n[k + 1] else held + n[k + 1] end::bigint, chunk_id + full_now::int, case when full_now then first else 0 end, case when full_now then k else 0 end
+        from (select run.*, n, held + n[k + 1] > 200 as full_now, k + 1 - len(list_filter(range(1, k - first + 2), lambda i: list_sum(n[k - i + 1:k]) <= 100)) as carry from run join sized using (r) where k < len(n))
+    ),
+    cuts as (select r, chunk_id - 1 as chunk_id, out_first as a, out_last as b from run where out_last > 0 union all select r, chunk_id, first, k from run join sized using (r) where k = len(n)),
+    texts as (select doc_id as document_id, chunk_id, array_to_string(ss[a:b], ' ') as text from cuts join sized using (r))
+    select document_id, chunk_id, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::bigint as word_count, length(text)::bigint as char_count from texts""")
 def c02(spark, d):
     return chunking.sentence_groups(docs_of(spark, d).withColumnRenamed("doc_id", "document_id"))
 
@@ -212,9 +230,14 @@ def a07(spark, d):
     return rows.crossJoin(F.broadcast(total)).select("prefix", "n", F.round(100.0 * F.col("n") / F.col("total"), 9).alias("percent")).orderBy(F.col("n").desc(), "prefix").limit(10)
 
 
-@query("a09_quality_by_source", "select source, count(*) as labelled, sum(quality)::bigint as good, round(avg(n_chars), 6) as mean_chars from documents join labels using (doc_id) group by source")
+_JUDGED = "case when row_no % 5 = 0 then 'no verdict' else 'My scores: {\"score_classic\": ' || (row_no % 6) || ', \"score_dense\": ' || (row_no % 4 + 1) || ', \"score_sparse\": ' || (row_no % 3) || '.5}' end"
+
+
+@query("a09_judge_scores", _SCR + ", s as (select row_no as answer_set, unnest(['classic', 'dense', 'sparse', 'dense_sc']) as system, unnest(case when row_no % 5 = 0 then [2.5, 2.5, 2.5, 2.5] else [(row_no % 6)::double, (row_no % 4 + 1)::double, row_no % 3 + 0.5, 2.5] end)::double as score from scr) select answer_set, system, score, row_number() over (partition by answer_set order by score desc, system) as rank from s")
 def a09(spark, d):
-    return docs_of(spark, d).join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("labelled"), F.sum("quality").cast("long").alias("good"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+    """Four scores of a judge's replies, compared: parsed from prose, 2.5 where they cannot be read."""
+    replies = scr(spark, d).select(F.col("row_no").alias("answer_set"), F.expr(_JUDGED).alias("reply"))
+    return context.score_comparison(context.verdict(replies))
 
 
 # -- extraction ------------------------------------------------------------------------------------------------------
@@ -264,7 +287,7 @@ def bm25_sql(key: str, text: str, source: str, queries: str, k: int, out: str =
 _BM25 = f"with {_ASKED}, " + bm25_sql("doc_id", "text", "documents", "asked", 10)
 
 
-@query("i01_postings", f"select doc_id, term, count(*) as tf, any_value(n)::bigint as length from (select doc_id, len({terms_sql('text')}) as n, unnest({terms_sql('text')}) as term from documents) group by doc_id, term")
+@query("i01_postings", f"with tk as materialized (select doc_id, {terms_sql('text')} as ts from documents) select doc_id, term, count(*) as tf, any_value(n)::bigint as length from (select doc_id, len(ts) as n, unnest(ts) as term from tk) group by doc_id, term")
 def i01(spark, d):
     return search.postings(docs_of(spark, d)).select("doc_id", "term", "tf", "length")
 
@@ -306,10 +329,17 @@ def q06(spark, d):
     return search.levenshtein_search(r.where("row_no % 20 = 0").select(F.col("row_no").alias("query_id"), F.col("symptom").alias("text")), r.select("symptom"))
 
 
-@query("q12_equipment", "select s_suppkey as query_id, n_name as matched, (case when n_name is not null then 1 end)::bigint as stage from supplier left join nation on n_nationkey = s_nationkey")
+_TURNED = "array_to_string(list_reverse(string_split(lower(n_name), ' ')), ' ')"
+
+
+@query("q12_equipment", f"with a as (select s_suppkey as query_id, case s_suppkey % 4 when 0 then lower(n_name) when 1 then 'the ' || n_name || ' plant' when 2 then {_TURNED} else '' end as a from supplier join nation on n_nationkey = s_nationkey), k as (select n_nationkey as list_no, n_name as name, lower(n_name) as b from nation), s as (select query_id, list_no, name, case when lower(a) = b then 1 when contains(lower(a), b) or contains(b, lower(a)) then 2 when list_sort(string_split(lower(a), ' ')) = list_sort(string_split(b, ' ')) then 3 end as stage from a, k where a <> ''), f as (select query_id, name, stage, row_number() over (partition by query_id order by stage, list_no) as nth from s where stage is not null) select a.query_id, name as matched, stage::bigint as stage from a left join f on a.query_id = f.query_id and nth = 1")
 def q12(spark, d):
+    """Names as they are, inside others, with their words turned round (found by vectors), and blank."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("list_no"), F.col("n_name").alias("name"))
-    ask = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("list_no"), "left").select(F.col("s_suppkey").alias("query_id"), F.lower("name").alias("equipment"))
+    both = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("list_no"))
+    turned = F.array_join(F.reverse(F.split(F.lower("name"), " ")), " ")
+    k = F.col("s_suppkey") % 4
+    ask = both.select(F.col("s_suppkey").alias("query_id"), F.when(k == 0, F.lower("name")).when(k == 1, F.concat(F.lit("the "), "name", F.lit(" plant"))).when(k == 2, turned).otherwise("").alias("equipment"))
     return search.match_equipment(ask, n)
 
 
@@ -483,11 +513,11 @@ def h14(spark, d):
     return a.select(F.round("c", 9).alias("causes"), F.round("r", 9).alias("remedies"), ((F.abs(F.col("c") - 1) <= 0.1) & (F.abs(F.col("r") - 1) <= 0.1)).alias("one_to_one"))
 
 
-@query("h15_orphans", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("h15_orphans", _SCR + ", n as (select distinct 'symptom' as label, symptom as name from scr union select distinct 'cause', cause from scr union select distinct 'remedy', remedy from scr), kept as (select * from scr where row_no % 7 <> 0), e as (select symptom as name from kept union select cause from kept union select remedy from kept) select label, name from n where name not in (select name from e)")
 def h15(spark, d):
-    n = table(spark, d, "customer").select(F.col("c_custkey").alias("name"))
-    e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
-    return graph.orphans(n, e).select(F.col("name").alias("c_custkey"))
+    """Nodes that no relationship touches, after every seventh triplet's relationships are gone."""
+    r = scr(spark, d)
+    return graph.orphans(graph.nodes(r), graph.edges(r.where("row_no % 7 <> 0"))).select("label", "name")
 
 
 @query("h16_remedy_sharing", _SCR + _CAUSES + ", sh as (select a.symptom as s1, b.symptom as s2, cause, remedy from paths a join paths b using (cause, remedy) where a.symptom <> b.symptom) select count(distinct remedy) as remedies, count(distinct cause) as causes, count(distinct (s1, s2)) as pairs from sh")
@@ -516,6 +546,10 @@ def q11(spark, d):
     return search.max_fusion(v)
 
 
-@query("u01_rewrite")
+_REWRITTEN = _SCR + r", w as (select row_no as query_id, array_to_string(regexp_extract_all(upper(symptom), '\b[A-Z]{3,5}-\d{3,4}\b'), ' ') as codes, array_to_string(" + terms_sql("symptom") + ", ' ') as terms from scr)"
+
+
+@query("u01_rewrite", _REWRITTEN + " select query_id, trim(concat_ws(' ', codes, terms)) as filtered_query, array_to_string(list_filter([terms, codes], lambda v: v <> ''), '|') as variants from w")
 def u01(spark, d):
-    return context.rewrite_query(scr(spark, d).select(F.col("row_no").alias("query_id"), F.col("symptom").alias("text")))
+    rows = context.rewrite_query(scr(spark, d).select(F.col("row_no").alias("query_id"), F.col("symptom").alias("text")))
+    return rows.withColumn("variants", F.array_join("variants", "|"))
