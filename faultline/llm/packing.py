@@ -34,8 +34,8 @@ from .common import materialise, slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Words, and pre-tokens, whose ids a Python worker keeps, and the longest that it keeps: about 100 MB together.
-CACHE_WORDS = 300_000
+#: Words, and pre-tokens, whose ids a Python worker keeps, and the longest that it keeps: about 200 MB together.
+CACHE_WORDS = 500_000
 CACHE_LENGTH = 64
 # The tokenizer's pre-token pattern, for lower-cased texts whose characters are all of _PLAIN.
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
