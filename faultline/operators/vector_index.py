@@ -2,7 +2,9 @@
 
 The vector index deals every vector to the nearest of ``cells`` centroids. Centroids come from spherical k-means over
 a bounded sample (SAMPLE vectors, by a hash of the key); every vector is indexed. A search reads the cells nearest to
-each query only; with ``probes=None`` it reads all vectors and is exact. Cells are stored in parts of at most about
+each query only; with ``probes=None`` it reads all vectors and is exact. How many cells it reads is measured when the
+index is built: TUNING stored vectors are searched exactly, and the least number of cells that holds TARGET of their ten
+nearest others is kept with the index. Vectors without clusters need many cells. Cells are stored in parts of at most about
 PART vectors, so no task gets a whole large cell.
 """
 
@@ -22,7 +24,9 @@ from ..sources import first_existing
 SAMPLE = 20_000
 MOST_CELLS = 1024
 PART = 4096
-PROBES = 12
+TUNING, TARGET = 200, 0.95
+#: Stands for the number of cells that the index has measured.
+MEASURED = 0
 
 
 def cells_for(n: int) -> int:
@@ -74,7 +78,18 @@ def build_vector_index(vectors: DataFrame, path: str, key: str = "vec_id", cells
     part = F.pmod(F.xxhash64(key), F.lit(max(1, -(-parts // count)))).cast("int")
     dealt.withColumn("part", part).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
     spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
-    spark.createDataFrame([(n, dim, count, key, "ivf" if count > 1 else "flat")], "n long, dim int, cells int, key string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    probes = _probes(spark.read.parquet(f"{path}/vectors"), centres, key) if count > 1 else 1
+    spark.createDataFrame([(n, dim, count, key, "ivf" if count > 1 else "flat", probes)], "n long, dim int, cells int, key string, kind string, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def _probes(vectors: DataFrame, centres: np.ndarray, key: str) -> int:
+    """The cells that hold TARGET of the ten nearest others of TUNING vectors."""
+    asked = vectors.orderBy(F.xxhash64(F.lit(7), key), key).limit(TUNING).select(F.col(key).alias("query_id"), F.col("embedding").alias("query_vector"))
+    truth = search.vector_search(asked, vectors.select(key, "embedding"), 11, key=key).where(F.col(key) != F.col("query_id"))
+    cells = _nearest(asked, "query_vector", centres, len(centres)).select("query_id", "cells")
+    rank = F.array_position("cells", F.col("cell"))
+    found = truth.select("query_id", key).join(vectors.select(key, "cell"), key).join(cells, "query_id")
+    return int(np.ceil(found.agg(F.percentile(rank, TARGET).alias("p")).first()["p"] or 1))
 
 
 def open_vector_index(spark: SparkSession, path: str, dim: int | None = None) -> tuple[DataFrame, DataFrame, dict]:
@@ -88,10 +103,10 @@ def open_vector_index(spark: SparkSession, path: str, dim: int | None = None) ->
     return vectors, spark.read.parquet(f"{path}/centres"), figures
 
 
-def search_vector_index(queries: DataFrame, path: str, k: int = 10, probes: int | None = PROBES, least: float = -1.0) -> DataFrame:
+def search_vector_index(queries: DataFrame, path: str, k: int = 10, probes: int | None = MEASURED, least: float = -1.0) -> DataFrame:
     """query_id, key, score, rank from the ``probes`` nearest cells of each query (query_id, query_vector); None: from all."""
     vectors, centres, figures = open_vector_index(queries.sparkSession, path)
-    key = figures["key"]
+    key, probes = figures["key"], figures["probes"] if probes == MEASURED else probes
     if probes is None or probes >= figures["cells"]:
         return search.vector_search(queries, vectors.select(key, "embedding"), k, least, key)
     centre = np.array([r["centre"] for r in centres.orderBy("cell").collect()])  # at most MOST_CELLS rows
