@@ -1,15 +1,19 @@
 """Personal data by anchor expansion: an Aho-Corasick automaton finds cues, local parsers set the boundaries.
 
-Anchors are at-signs, plus signs, digits, ``://`` and words that announce an account. Around each anchor a parser
+Anchors are at-signs, plus signs, digits, ``://`` and words that announce an account or a secret. Around each anchor a parser
 that reads no further than the span itself expands and validates:
 
 - ``email``, ``ip``, ``card``, ``phone``: the base kinds. Each gives what a leftmost non-overlapping scan with its
   pattern gives, since every match of a pattern holds its anchor and the parsers try anchors from left to right.
 - ``url``: an address after a scheme, if it names a user (``user:password@host``).
 - ``account``: an identifier after an account cue (``iban``, ``account``, ``acct``), or an IBAN that passes mod 97.
+- ``secret``: the value assigned to a secret cue (``token``, ``password``, ``api_key`` and the like), if it holds letters
+  and digits and is long enough to be opaque.
 
-Offsets are code points, ends are exclusive. Defined cases: null texts are empty; an empty text has no spans; rows
-with equal doc_id are scanned one by one; other columns stay as they are in mask().
+Offsets are code points, ends are exclusive. Defined cases: null texts are empty; an empty text has no spans; texts of
+any length are scanned whole, in time proportional to it; rows with equal doc_id (or none) are scanned one by one; of
+spans that overlap within a kind the leftmost stays; an empty table gives an empty table; other columns are not read by
+detect() and stay as they are in mask(), whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account")
+KINDS = (*BASE_KINDS, "url", "account", "secret")
 
 # The patterns of the base kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,6 +43,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,15}\Z")
 _URL_REST = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+(?::[^\s@/<>\"]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>\"]*)?")
 _ACCOUNT_REST = re.compile(r"[\s:#.=]{0,4}(?:(?:no|nr|number)\b[\s:#.=]{0,4})?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[0-9][0-9-]{6,20}[0-9])(?![A-Za-z0-9])")
+_SECRET_REST = re.compile(r"[\"']?\s{0,4}(?::=|=>|[=:])\s{0,4}[\"'`]?([A-Za-z0-9+/_.~$%^&*!@#=-]{8,})")
+
+#: Words that announce a secret, and the fewest characters of its value. Blanks in a cue stand for nothing, "_", "-" or " ".
+SECRET_CUES = {"password": 8, "passwd": 8, "passphrase": 8, "token": 16, "secret": 16, "api key": 16, "access key": 16, "secret key": 16, "private key": 16}
 
 
 def luhn(digits: str) -> bool:
@@ -69,6 +77,11 @@ def valid_account(text: str) -> bool:
     return 8 <= sum(c.isdigit() for c in compact) <= 18
 
 
+def valid_secret(text: str, least: int) -> bool:
+    """Long enough, with a letter and two digits, so that a word or a name in code is not one."""
+    return len(text) >= least and any(c.isalpha() for c in text) and sum(c.isdigit() for c in text) >= 2
+
+
 def build_automaton() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for digit in "0123456789":
@@ -78,6 +91,11 @@ def build_automaton() -> ahocorasick.Automaton:
     for cue in ("iban", "account", "acct"):
         for form in (cue, cue.capitalize(), cue.upper()):
             automaton.add_word(form, "account")
+    for cue, least in SECRET_CUES.items():
+        for between in ("", "_", "-", " ") if " " in cue else ("",):
+            spelt = cue.replace(" ", between)
+            for form in (spelt, spelt.capitalize(), spelt.upper(), cue.title().replace(" ", between)):
+                automaton.add_word(form, least)
     automaton.make_automaton()
     return automaton
 
@@ -123,6 +141,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 start = begin - len(s[0])
                 if start >= ends["url"]:
                     keep("url", start, m.end(), True)
+        elif isinstance(cue, int):
+            if last >= ends["secret"] and (m := _SECRET_REST.match(text, last + 1)):
+                ends["secret"] = m.end()
+                value = m[1].rstrip(".!")
+                if valid_secret(value, cue):
+                    found["secret"].append((m.start(1), m.start(1) + len(value)))
         elif m := _ACCOUNT_REST.match(text, last + 1):
             if m.start(1) >= ends["account"]:
                 keep("account", m.start(1), m.end(1), valid_account(m[1]))
@@ -140,21 +164,23 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_REPORT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+#: Columns that follow those of the base kinds: counts of the kinds that the method adds, and of all spans.
+_ADDED = (*(f"n_{k}" for k in KINDS[len(BASE_KINDS) :]), "n_spans")
+_REPORT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), *((c, pa.int64()) for c in _ADDED)])
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """One row a document: counts of the base kinds, a digest of their spans, and all spans."""
+    """One row a document: counts of the base kinds, a digest of their spans, all spans, counts of the other kinds and of all."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = [find_spans(t or "") for t in batch["text"].to_pylist()]
             base = [[s for s in spans if s[0] in BASE_KINDS] for spans in rows]
-            counts = [[sum(s[0] == k for s in spans) for spans in base] for k in BASE_KINDS]
+            counts = {k: [sum(s[0] == k for s in spans) for spans in rows] for k in KINDS}
             digests = [hashlib.sha256(joined(spans).encode()).hexdigest() for spans in base]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([joined(s) for s in rows], pa.string())], schema=_REPORT)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), pa.array(digests, pa.string()), pa.array([joined(s) for s in rows], pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS[len(BASE_KINDS) :]), pa.array([len(s) for s in rows], pa.int64())], schema=_REPORT)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, " + ", ".join(f"{c} long" for c in _ADDED)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
 
 

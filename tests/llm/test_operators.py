@@ -200,7 +200,19 @@ def test_pii_equals_patterns():
     for _ in range(4000):
         text = "".join(rng.choice("0123456789.+-@ ()ab:/") for _ in range(rng.randint(0, 60)))
         assert [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == pii.brute_force(text)
-    assert pii.masked("mail a.b@c.org or 10.0.0.1, ftp://me:pw@host/x") == "mail [EMAIL] or [IP], [URL]" or "[" in pii.masked("a@b.co")
+    assert pii.masked("mail a.b@c.org or 10.0.0.1, ftp://me:pw@host/x") == "mail [EMAIL] or [IP], [URL]"
+
+
+def test_pii_secrets():
+    """Values of secret cues are found whole, in all spellings; words, names in code and short values are left alone."""
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text in (f'x token = "{value}" y', f"TOKEN: {value.upper()}!", f"api-key={value}", f"'Api_Key': '{value}',", f"Secret Key => {value}.", "password: hunter42x"):
+        found = [text[a:b] for kind, a, b in pii.find_spans(text) if kind == "secret"]
+        assert found == [value.upper() if "TOKEN" in text else "hunter42x" if "password" in text else value], text
+        assert "[SECRET]" in pii.masked(text) and found[0] not in pii.masked(text)
+    for text in ("a token of thanks", "token = get_token_from_v2()", "password: required", "token: 16 words", "secretary: 1234567890123456a", "tokens = 4096"):
+        assert not [s for s in pii.find_spans(text) if s[0] == "secret"], text
+    assert pii.masked('token = "' + "token=" * 100_000 + '"').count("token") == 100_001  # no digit; read once
 
 
 def test_pii_rows_equal_the_patterns(spark, docs):
@@ -214,6 +226,8 @@ def test_pii_rows_equal_the_patterns(spark, docs):
         base = pii.brute_force(texts[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.BASE_KINDS]
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        kinds = [s.split(":")[0] for s in r.spans.split(",") if s]
+        assert [r.n_url, r.n_account, r.n_secret, r.n_spans] == [*(kinds.count(k) for k in ("url", "account", "secret")), len(kinds)]
         assert [s for s in r.spans.split(",") if s.split(":")[0] in pii.BASE_KINDS] == ([s for s in pii.joined(base).split(",") if s])
 
 
