@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,23 +91,28 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 500, rate: f
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, -40.0 if share == 0 else 40.0)
-    bags = [[sentence_features(s) for s in sentences(t)] for t in texts]
-    seen: dict[str, list[int]] = {}
-    for words, label in zip(bags, labels, strict=True):
-        for w in set().union(*words):
-            seen.setdefault(w, [0, 0])[label] += 1
+    # Features are numbered and kept in arrays: word objects of every sentence would take most of the driver's memory.
+    numbers: dict[str, int] = {}
+    seen: list[list[int]] = []
+    features, sizes, doc_of = array("i"), array("i"), array("i")
+    for doc, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        of_doc: set[int] = set()
+        for s in sentences(text):
+            own = [numbers.setdefault(w, len(numbers)) for w in sorted(sentence_features(s))]
+            features.extend(own)
+            sizes.append(len(own))
+            doc_of.append(doc)
+            of_doc.update(own)
+        seen += [[0, 0] for _ in range(len(numbers) - len(seen))]
+        for k in of_doc:
+            seen[k][label] += 1
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     # Features that toxic documents hold more often than chance allows. Weights only add to toxicity.
-    told = {w: _g2(b, a, n1, n0) for w, (a, b) in seen.items() if a + b >= LEAST_DOCS and b * n0 > a * n1}
+    told = {w: _g2(b, a, n1, n0) for w, (a, b) in zip(numbers, seen, strict=True) if a + b >= LEAST_DOCS and b * n0 > a * n1}
     vocabulary = {w: k for k, w in enumerate(sorted((w for w in told if told[w] >= LEAST_G2), key=lambda w: (-told[w], w))[:VOCABULARY])}
-    features, owner, doc_of = [], [], []
-    for doc, words in enumerate(bags):
-        for s in words:
-            own = [vocabulary[w] for w in s if w in vocabulary]
-            features += own
-            owner += [len(doc_of)] * len(own)
-            doc_of.append(doc)
-    feature, sentence, doc = np.array(features, dtype=np.int64), np.array(owner, dtype=np.int64), np.array(doc_of, dtype=np.int64)
+    place = np.fromiter((vocabulary.get(w, -1) for w in numbers), dtype=np.int32, count=len(numbers))
+    feature, sentence, doc = place[np.array(features, dtype=np.int32)], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.array(doc_of, dtype=np.int32)
+    feature, sentence = feature[feature >= 0], sentence[feature >= 0]
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     theta = np.zeros(len(vocabulary) + 1)
     theta[-1] = -5.0
