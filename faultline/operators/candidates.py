@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .fusion import lexical_overlap, rerank
-from .search import top_k
+from .search import once, top_k
 
 #: A search: (query_id, text) to (query_id, key, score, rank).
 Search = Callable[[DataFrame], DataFrame]
@@ -27,13 +27,14 @@ def all_queries(processed: DataFrame, most: int = 3) -> DataFrame:
 def candidate_pool(queries: DataFrame, lexical: Search, semantic: Search, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, tag, place: what each engine finds for each query text, in order of text, engine and rank.
 
-    queries: query_id, query_no, text. All texts are asked in one plan for each engine. Blank texts find nothing.
+    queries: query_id, query_no, text. All texts are asked in one plan for each engine,
+    equal ones once. Blank texts find nothing.
     """
     named = queries.where(F.trim("text") != "").withColumn("asked", F.concat_ws("#", F.col("query_id").cast("string"), F.col("query_no").cast("string")))
     ask = named.select(F.col("asked").alias("query_id"), "text")
     parts = []
     for engine_no, (engine, search) in enumerate(zip(ENGINES, (lexical, semantic), strict=True)):
-        found = search(ask).select(F.col("query_id").alias("asked"), key, "score", "rank")
+        found = once(ask, search).select(F.col("query_id").alias("asked"), key, "score", "rank")
         parts.append(found.select("*", F.lit(engine).alias("engine"), F.lit(engine_no).alias("engine_no")))
     both = parts[0].unionByName(parts[1]).join(named.select("asked", "query_id", "query_no"), "asked")
     order = Window.partitionBy("query_id").orderBy("query_no", "engine_no", "rank")

@@ -1,5 +1,7 @@
 """What is asked of an operator grows with different texts, not with copies of them; rows equal brute force."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from faultline.operators import search
@@ -20,3 +22,36 @@ def test_copies_of_texts_are_searched_once(spark, monkeypatch):
     assert sizes == [(3, 3)]
     want = [(q, t, n + 1) for q in range(0, 60, 5) for n, t in enumerate([q % 3 + 3 * i for i in range(3)])]
     assert [(r.query_id, r.triplet_id, r["rank"]) for r in got] == want and all(r.cause == f"c{r.triplet_id}" for r in got)
+
+
+def test_bm25_adds_up_within_blocks(spark, monkeypatch):
+    """Several blocks and packs, repeated questions and a word of every document: no table of query and document pairs."""
+    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "MOST", 40)
+    docs = [(k, f"motor m{k % 5} n{k % 7} " + "stop " * (k % 3)) for k in range(40)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"motor m{q % 4} stop missing") for q in range(20)] + [(20, None), (21, "none")], "query_id long, text string")
+    found = search.bm25(asked, rows, 5)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    terms = {k: t.split() for k, t in docs}
+    mean = sum(map(len, terms.values())) / len(terms)
+    df = {t: sum(t in w for w in terms.values()) for w in terms.values() for t in w}
+    want = set()
+    for q in range(20):
+        scores = []
+        for k, w in terms.items():
+            held = [t for t in ("motor", f"m{q % 4}", "stop") if t in w]
+            scores.append((-round(sum((math.log(40 / (df[t] + 1)) + 1) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in held), 9), k))
+        want |= {(q, k, -s, n) for n, (s, k) in enumerate(sorted(scores)[:5], 1)}
+    assert set(map(tuple, found.collect())) == want
+    assert search.bm25(asked, rows, 5, mode="and").count() == 0 and search.bm25(asked, rows.limit(0), 5).count() == 0
+
+
+def test_levenshtein_search_takes_the_first_of_each_code(spark, monkeypatch):
+    known = spark.createDataFrame([(f"ABC-00{k % 3} part {k:03d}",) for k in range(60)], "symptom string")
+    asked = spark.createDataFrame([(q, "ABC-001 ABD-001 x") for q in range(9)], "query_id long, text string")
+    got = search.levenshtein_search(asked, known, 4)
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("row_number()") >= 3  # firsts of a code, best of an asked code, best of a query
+    want = [f"ABC-001 part {k:03d}" for k in (1, 4, 7, 10)]
+    assert [(r.query_id, r.symptom, r.score) for r in got.orderBy("query_id", "rank").collect()] == [(q, s, 1.0) for q in range(9) for s in want]
