@@ -53,6 +53,8 @@ LENGTH = 100
 GRAM = 32
 SLICE_BYTES = 2_000_000
 SLICE_ROWS = 65_536
+#: Bytes of a slice whose hashes are held at once; the arrays over them take about 80 times as much.
+PART_BYTES = 262_144
 BUCKET_BYTES = 16_000_000
 #: Strings of one collection, contexts of an anchor beyond which it is dealt by windows, parts for such windows.
 STRINGS = 8192
@@ -419,15 +421,16 @@ def _ties(data: np.ndarray, offsets: np.ndarray, idx: np.ndarray) -> np.ndarray:
 
 def contexts_of(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
     """The contexts of a slice's rows that have an id: idx, lo, n, key, ctx; long texts are read in parts."""
+    most = min(SLICE_BYTES, PART_BYTES)
     parts: list[tuple[int, int, int]] = []  # row, first byte in the text, size
     for k in np.flatnonzero(known & (np.diff(offsets) >= LENGTH)).tolist():
         size = int(offsets[k + 1] - offsets[k])
-        for a in range(0, size - LENGTH + 1, SLICE_BYTES - LENGTH + 1):
-            parts.append((k, a, min(SLICE_BYTES, size - a)))
+        for a in range(0, size - LENGTH + 1, most - LENGTH + 1):
+            parts.append((k, a, min(most, size - a)))
     found, at = [], 0
     while at < len(parts):
         stop, total = at, 0
-        while stop < len(parts) and total + parts[stop][2] <= SLICE_BYTES:
+        while stop < len(parts) and total + parts[stop][2] <= most:
             total += parts[stop][2]
             stop += 1
         row, first, size = (np.array(x, dtype=np.int64) for x in zip(*parts[at:stop], strict=True))
@@ -551,7 +554,8 @@ def trimmed(strings: list[bytes]) -> list[tuple[int, int, int]]:
     h, step, factor, powers = _TABLE[np.frombuffer(b"".join(strings), dtype=np.uint8)], 1, _M, {}
     total = len(h) - LENGTH + 1
     while step <= 64:
-        powers[step] = h
+        if step in (4, 32, 64):  # they make up LENGTH
+            powers[step] = h
         if len(h) > step:
             h = h[: len(h) - step] * _U(factor) + h[step:]
         factor = factor * factor % 2**64

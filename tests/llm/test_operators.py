@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -147,6 +148,24 @@ def test_substring_dedup_reads_long_texts_in_parts(spark, monkeypatch):
     assert rows(suffixdedup.deduplicate(df, kept=False)) == suffixdedup.brute_force(data)
 
 
+def test_substring_dedup_holds_the_hashes_of_a_part_at_once():
+    rng = random.Random(7)
+    text = words(rng, 400_000)[:2_000_000].encode()
+    ends = np.array([0, 700_000, 700_050, 1_999_000, len(text)])
+    data = np.frombuffer(text, np.uint8)
+    tracemalloc.start()
+    try:
+        found = suffixdedup.contexts_of(data, ends, np.ones(4, dtype=bool))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60_000_000
+    for k, size in enumerate(np.diff(ends)):
+        own = found["idx"] == k
+        covered = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(found["lo"][own], found["n"][own], strict=True)] or [[]])
+        assert sorted(covered.tolist()) == list(range(size - suffixdedup.LENGTH + 1))
+
+
 def test_collection_is_the_suffix_order(tmp_path):
     rng = random.Random(8)
     for _ in range(60):
