@@ -55,3 +55,21 @@ def test_levenshtein_search_takes_the_first_of_each_code(spark, monkeypatch):
     assert joined.count("row_number()") >= 3  # firsts of a code, best of an asked code, best of a query
     want = [f"ABC-001 part {k:03d}" for k in (1, 4, 7, 10)]
     assert [(r.query_id, r.symptom, r.score) for r in got.orderBy("query_id", "rank").collect()] == [(q, s, 1.0) for q in range(9) for s in want]
+
+
+def test_dense_lookup_fuses_equal_questions_once(spark, monkeypatch):
+    texts = ["ABC-001 motor axis fault", "ABD-002 cable stop brake", "ABC-003 motor axis stop"]
+    known = spark.createDataFrame([(t,) for t in [*texts, "XYZ-900 fan"]], "symptom string")
+    asked = spark.createDataFrame([(q, texts[q % 3]) for q in range(30)] + [(30, None), (31, " ")], "query_id long, text string")
+    sizes, plain = [], search.hybrid_symptoms
+
+    def counted(scored, *rest):
+        sizes.extend(rows.select("query_id").distinct().count() for rows, _, _ in scored)
+        return plain(scored, *rest)
+
+    monkeypatch.setattr(search, "hybrid_symptoms", counted)
+    got = search.dense_symptoms(asked, known, 2)
+    assert sizes == [3, 3, 3] and got.columns == ["query_id", "symptom", "score", "rank"]
+    found = {(r.query_id, r["rank"]): (r.symptom, r.score) for r in got.collect()}
+    assert {q for q, _ in found} == set(range(30)) and len(found) == 60
+    assert all(found[q, n] == found[q % 3, n] for q, n in found) and all(found[q, 1] == (texts[q], 1.0) for q in range(3))
