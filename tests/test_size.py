@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from faultline.operators import search
+from faultline.operators import graph, kg_context, search
 
 
 def test_copies_of_texts_are_searched_once(spark, monkeypatch):
@@ -73,3 +73,38 @@ def test_dense_lookup_fuses_equal_questions_once(spark, monkeypatch):
     found = {(r.query_id, r["rank"]): (r.symptom, r.score) for r in got.collect()}
     assert {q for q, _ in found} == set(range(30)) and len(found) == 60
     assert all(found[q, n] == found[q % 3, n] for q, n in found) and all(found[q, 1] == (texts[q], 1.0) for q in range(3))
+
+
+def _graph(spark):
+    """Symptoms with several causes, which have many remedies each."""
+    rows = [(k, f"ABC-{k % 4:03d} motor axis fault {k % 7}", f"cause {k % 3}", f"remedy {k % 11:02d}", f"EQ-{k % 5}") for k in range(231)]
+    rows += [(500, "ABC-009 lone fan", "cause x", "remedy y", "EQ-1"), (501, "ABC-008 no cause", None, "remedy z", "EQ-1")]
+    return spark.createDataFrame(rows, "row_no long, symptom string, cause string, remedy string, equipment string")
+
+
+def test_first_paths_are_those_of_all_paths(spark):
+    rows = _graph(spark)
+    own = {}
+    for r in graph.expand(rows.select("symptom", "cause").distinct(), rows).collect():
+        own.setdefault(r.symptom, []).append((r.cause, r.remedy, r.equipment))
+    for most in (1, 3, 50):
+        got = {}
+        for r in graph.first_paths(rows, rows, most).collect():
+            got.setdefault(r.symptom, []).append(((r.cause, r.remedy, r.equipment), r.stands))
+        assert {s: sorted(p for p, _ in ps) for s, ps in got.items()} == {s: sorted(ps)[:most] for s, ps in own.items()}
+        assert {s: sum(n for _, n in ps) for s, ps in got.items()} == {s: len(ps) for s, ps in own.items()}
+
+
+def test_contexts_do_not_write_all_paths(spark, monkeypatch):
+    rows = _graph(spark)
+    queries = rows.where("row_no % 20 = 0 or row_no > 400").select(F.col("row_no").alias("query_id"), F.col("symptom").alias("text"), "equipment")
+    paths = graph.expand(rows.select("symptom", "cause").distinct(), rows)
+    want = {(kind, level): sorted(map(tuple, kg_context.kg_context(kind, queries.select("query_id", "text", *level), rows, paths).collect())) for kind in ("dense", "dense_sc") for level in ((), ("equipment",))}
+    assert max(total for _, _, _, total in want["dense", ()]) > 60
+
+    def refused(*_):
+        raise AssertionError("all paths are written")
+
+    monkeypatch.setattr(graph, "expand", refused)
+    for (kind, level), context in want.items():
+        assert sorted(map(tuple, kg_context.kg_context(kind, queries.select("query_id", "text", *level), rows).collect())) == context
