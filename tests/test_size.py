@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from faultline.operators import graph, kg_context, search
+from faultline.plans import registry, retrieval_queries, symptom_queries  # noqa: F401  they register
 
 
 def test_copies_of_texts_are_searched_once(spark, monkeypatch):
@@ -108,3 +109,22 @@ def test_contexts_do_not_write_all_paths(spark, monkeypatch):
     monkeypatch.setattr(graph, "expand", refused)
     for (kind, level), context in want.items():
         assert sorted(map(tuple, kg_context.kg_context(kind, queries.select("query_id", "text", *level), rows).collect())) == context
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_scored_triplets_do_not_write_all_paths(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all paths are written")
+
+    monkeypatch.setattr(graph, "expand", refused)
+    for name in ("h05_scored_triplets", "h07_equipment_context"):
+        registry.QUERIES[name](spark, SMALL)
+
+
+def test_dense_lookups_have_small_plans(spark):
+    """What the searches share is computed once: the driver plans and holds few exchanges."""
+    for name, most in (("q07_hybrid_symptoms", 10), ("h07_dense_equipment", 40)):
+        plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Aggregate") <= most, (name, plan.count("Aggregate"))
