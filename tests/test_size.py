@@ -128,3 +128,21 @@ def test_dense_lookups_have_small_plans(spark):
     for name, most in (("q07_hybrid_symptoms", 10), ("h07_dense_equipment", 40)):
         plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("Aggregate") <= most, (name, plan.count("Aggregate"))
+
+
+def test_remedy_sharing_does_not_write_all_paths(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all paths are written")
+
+    r = [(None if k % 31 == 0 else f"s{k % 23}", None if k % 29 == 0 else f"c{k * k % 13}", None if k % 5 == 0 else f"r{k % 7}") for k in range(150)]
+    r += [("lone", "c lone", "r lone"), ("a", "c none", None), ("b", "c none", None)]
+    paths = {(s, c, m) for s, c, _ in r for c2, m in {x[1:] for x in r} if c == c2 and None not in (s, c, m)}
+    sharing = {(a, b, c, m) for a, c, m in paths for b, c2, m2 in paths if a != b and (c, m) == (c2, m2)}
+    want = tuple(len({f(x) for x in sharing}) for f in (lambda x: x[3], lambda x: x[2], lambda x: x[:2]))
+    monkeypatch.setattr(graph, "SHARE", 3)  # classes are cut into several parts
+    rows = spark.createDataFrame(r, "symptom string, cause string, remedy string")
+    assert tuple(graph.relation_sharing(rows).first()) == want and 0 < want[2] < 23 * 22
+    assert tuple(graph.remedy_sharing(spark.createDataFrame(sorted(paths), rows.schema)).first()) == want
+    assert tuple(graph.relation_sharing(rows.limit(0)).first()) == (0, 0, 0)
+    monkeypatch.setattr(graph, "expand", refused)
+    registry.QUERIES["h16_remedy_sharing"](spark, SMALL)
