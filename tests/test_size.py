@@ -146,3 +146,37 @@ def test_remedy_sharing_does_not_write_all_paths(spark, monkeypatch):
     assert tuple(graph.relation_sharing(rows.limit(0)).first()) == (0, 0, 0)
     monkeypatch.setattr(graph, "expand", refused)
     registry.QUERIES["h16_remedy_sharing"](spark, SMALL)
+
+
+def test_every_row_asks_with_its_variants(spark):
+    found = registry.QUERIES["q11_dense_variants"](spark, SMALL)
+    ids = {r.p_partkey for r in registry.table(spark, SMALL, "part").select("p_partkey").collect()}
+    assert {r.query_id for r in found.select("query_id").collect()} == ids and len(ids) > 100
+    assert "% 20" not in registry.ORACLE_SQL["q11_dense_variants"] and "% 20" in registry.ORACLE_SQL["h07_dense_variants"]
+
+
+def test_equal_queries_with_variants_are_fused_once(spark, monkeypatch):
+    rows = _graph(spark)
+    text = lambda k: f"ABC-{k % 4:03d} motor axis fault {k % 2}"
+    asked = [(k, text(k), [text(k), "ABC-009 lone fan", "stop"]) for k in range(40)] + [(40, None, ["ABC-009 lone fan"]), (41, "ABC-009 lone fan", None), (41, "ABC-009 lone fan", None), (42, text(0), []), (42, text(1), [" ", text(0)])]
+    sizes, plain = [], search.dense_symptoms
+
+    def counted(queries, *rest, **more):
+        sizes.append(queries.count())
+        return plain(queries, *rest, **more)
+
+    monkeypatch.setattr(search, "dense_symptoms", counted)
+    schema = "query_id long, text string, variants array<string>"
+    got = {}
+    for part in (asked[:42], asked):  # ids given once, and some given twice
+        got = {}
+        for r in kg_context.lookup_variants("dense", spark.createDataFrame(part, schema), rows).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.symptom, r.score, r["rank"]))
+        assert all(got[k] == got[k % 4] for k in range(40)) and 40 not in got
+        assert got[41][0] == ("ABC-009 lone fan", 1.0, 1) and all([n for *_, n in hits] == [1, 2, 3] for hits in got.values())
+    assert max(sizes) <= 14
+    best = {}  # of an id given twice: the best of both rows
+    texts = spark.createDataFrame([(0, text(0)), (1, text(1))], "query_id long, text string")
+    for r in plain(texts, rows.select("symptom")).collect():
+        best[r.symptom] = max(best.get(r.symptom, 0), r.score)
+    assert [x[:2] for x in got[42]] == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]
